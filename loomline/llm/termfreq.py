@@ -18,85 +18,68 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(1))
 
 
-def _term_counts(found: Column) -> Column:
-    """(term, count) of each distinct term of one record's term array: a run-length scan of the sorted array."""
-    ordered = F.array_sort(found)
-    packed = F.struct(ordered.alias("t"), F.size(ordered).alias("n"))
-
-    def runs(p: Column) -> Column:
-        t, n = p["t"], p["n"]
-        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
-        return F.transform(starts, lambda s, j: F.struct(F.get(t, s).alias("term"), (F.coalesce(F.get(starts, j + 1), n) - s).alias("tf")))
-
-    # A one-element transform binds the sorted array once, so that it is not sorted again for every element.
-    return F.when(F.size(found) > 0, F.flatten(F.transform(F.array(packed), runs)))
-
-
 def _scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Run-length scan of sorted (field, term, id, tf): one partial (field, term, occurrences, records) per run.
+    """Run-length scan of sorted (field, term, id, place): one partial (field, term, occurrences, records) per run.
 
-    State between batches is the open term and its last record, so a run of any length needs constant memory.
+    State between batches is the open term with its last record and place, so a run of any length needs
+    constant memory. A repeated (term, record, place) comes from a record delivered again and counts once.
     """
     schema = pa.schema([("field", pa.string()), ("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])
-    open_key, open_id, open_tf, total, records = None, None, 0, 0, 0
+    def row(key: tuple, occurrences: int, records: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], y.type) for x, y in zip((*key, occurrences, records), schema, strict=True)], schema=schema)
+
+    open_key, last, total, records = None, None, 0, 0
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         field, term = (pc.dictionary_encode(batch.column(i)) for i in (0, 1))
         f, t = (c.indices.to_numpy(zero_copy_only=False) for c in (field, term))
-        ids, tf = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+        ids, places = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
         new_term = np.ones(n, bool)
         new_term[1:] = (t[1:] != t[:-1]) | (f[1:] != f[:-1])
         new_record = new_term.copy()
         new_record[1:] |= ids[1:] != ids[:-1]
-        # Repeated rows of a record count once, with the largest of their counts.
-        starts = np.flatnonzero(new_record)
-        record_tf = np.maximum.reduceat(tf, starts)
-        of_term = np.flatnonzero(new_term[starts])
-        sums, counts = np.add.reduceat(record_tf, of_term), np.diff(np.append(of_term, len(starts)))
-        keys = starts[of_term]
-        names = [(field.dictionary[int(f[k])].as_py(), term.dictionary[int(t[k])].as_py()) for k in (keys[0], keys[-1])]
+        new_place = new_record.copy()
+        new_place[1:] |= places[1:] != places[:-1]
+        starts = np.flatnonzero(new_term)
+        sums, counts = (np.add.reduceat(x.astype(np.int64), starts) for x in (new_place, new_record))
+        names = [(field.dictionary[int(f[k])].as_py(), term.dictionary[int(t[k])].as_py()) for k in (starts[0], starts[-1])]
         if open_key == names[0]:
-            first = int(record_tf[0])
-            again = ids[0] == open_id
-            sums[0] += total - (min(open_tf, first) if again else 0)
-            counts[0] += records - again
-            last_tf = max(open_tf, first) if again and len(starts) == 1 else int(record_tf[-1])
-        else:
-            last_tf = int(record_tf[-1])
-            if open_key is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([x], y.type) for x, y in zip((*open_key, total, records), schema, strict=True)], schema=schema)
-        closed = len(keys) - 1
+            sums[0] += total - (last == (ids[0], places[0]))
+            counts[0] += records - (last[0] == ids[0])
+        elif open_key is not None:
+            yield row(open_key, total, records)
+        closed = len(starts) - 1
         if closed:
-            pick = pa.array(keys[:closed])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick).cast(pa.string()), batch.column(1).take(pick).cast(pa.string()), pa.array(sums[:closed], pa.int64()), pa.array(counts[:closed], pa.int64())], schema=schema)
-        open_key, open_id, open_tf, total, records = names[1], ids[-1], last_tf, int(sums[-1]), int(counts[-1])
+            pick = pa.array(starts[:closed])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick).cast(pa.string()), batch.column(1).take(pick).cast(pa.string()), pa.array(sums[:closed]), pa.array(counts[:closed])], schema=schema)
+        open_key, last, total, records = names[1], (ids[-1], places[-1]), int(sums[-1]), int(counts[-1])
     if open_key is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([x], y.type) for x, y in zip((*open_key, total, records), schema, strict=True)], schema=schema)
+        yield row(open_key, total, records)
 
 
 def term_frequencies(docs: DataFrame, record_id: str, fields: list[str]) -> DataFrame:
     """(field, term, occurrences, records) of every distinct term of the fields, over all records.
 
     Range-partitioned external sort of (term, record) pairs, then a run-length scan of each sorted partition.
-    Each record first merges its own repeated terms. Ranges cut on term and record id, so a term that fills a
-    third of all pairs spreads over many partitions, and no record of a term is split between two; the partial
-    runs of a term (one per partition it touches) are then added up.
+    Ranges cut on term and record id, so a term that fills a third of all pairs spreads over many partitions,
+    and no record of a term is split between two; the partial runs of a term (one per partition it touches) are
+    then added up.
 
     Defined cases: null texts and ids are no records; an empty text is a record without terms; a record
-    delivered more than once counts once, each of its terms with its largest count in any delivery; an empty
-    table gives an empty result. Other columns are not read.
+    delivered more than once counts once, and a term once at each place (number of the token in the text) where
+    any delivery has it; an empty table gives an empty result. Other columns are not read.
     """
     texts = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields)))
     pairs = (
         docs.where(F.col(record_id).isNotNull())
         .select(F.col(record_id).cast("long").alias("_id"), texts.alias("_x"))
         .where("_x.text IS NOT NULL")
-        .select("_id", F.col("_x.field").alias("field"), F.explode(_term_counts(terms(F.col("_x.text")))).alias("_p"))
-        .select("field", F.col("_p.term").alias("term"), "_id", F.col("_p.tf").cast("long").alias("tf"))
+        .select("_id", F.col("_x.field").alias("field"), F.posexplode(terms(F.col("_x.text"))).alias("place", "term"))
+        .select("field", "term", "_id", "place")
     )
-    ordered = pairs.repartitionByRange("field", "term", "_id").sortWithinPartitions("field", "term", "_id")
+    ordered = pairs.repartitionByRange("field", "term", "_id").sortWithinPartitions("field", "term", "_id", "place")
     runs = ordered.mapInArrow(_scan_runs, "field string, term string, occurrences long, records long")
     return runs.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
