@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+MAX_TASKS = 20_000
+
+
 def utf8_tokens(text: Column) -> Column:
     """Tokens of the public byte-level tokenizer ByT5 without end mark: one for each UTF-8 byte."""
     return F.octet_length(text)
@@ -119,8 +122,10 @@ def pack(
         return rows.drop(columns="_group")
 
     kind = dict(items.dtypes)["_id"]
+    # The rows are few bytes but seconds of work a group, so the number of tasks follows the groups, not the bytes.
     return (
         items.withColumn("_group", F.pmod(F.xxhash64("_id", "piece"), F.lit(groups)).cast("int"))
+        .repartition(min(groups, MAX_TASKS), "_group")
         .groupBy("_group")
         .applyInPandas(pack_group, f"_id {kind}, piece int, pieces int, token_start long, token_end long, loss_tokens long, container long, position int")
         .withColumnRenamed("_id", item_id)
