@@ -207,7 +207,7 @@ def examples(text: str) -> Iterator[tuple[str, tuple, tuple]]:
             yield ("n" if sure else "u"), feats, keys
 
 
-def fit(rows: list[tuple[str, str, str, int]], steps: int = 250, strength: float = 0.02) -> dict[str, float]:
+def fit(rows: list[tuple[str, str, str, int]], steps: int = 250, strength: float = 3.0) -> dict[str, float]:
     """Weights of the maximum-entropy model, by gradient ascent on the posterior with a Gaussian prior around
     PRIOR. rows: (label, features, evidence keys, count).
 
