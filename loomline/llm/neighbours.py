@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -274,8 +275,9 @@ def rerank(pairs: DataFrame, current: DataFrame, dim: int, least: float | None)
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
-    one = pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("neighbour"), "cosine")
-    return one.unionByName(pairs.select(F.col("id_b").alias("id"), F.col("id_a").alias("neighbour"), "cosine"))
+    """(id, neighbour, cosine): each pair seen from either side, in one pass."""
+    ends = F.array(F.struct(F.col("id_a").alias("id"), F.col("id_b").alias("neighbour")), F.struct(F.col("id_b").alias("id"), F.col("id_a").alias("neighbour")))
+    return pairs.select(F.explode(ends).alias("_e"), "cosine").select("_e.id", "_e.neighbour", "cosine")
 
 
 def top(found: DataFrame, k: int) -> DataFrame:
@@ -365,8 +367,11 @@ def nearest(
     bytes); if it is null, of another length, all zero or not finite, or ``keep`` lacks the id, the id has no
     vector; null ids are dropped; equal vectors of different ids are hashed once and are one another's nearest;
     a collection of one vector, or an empty one, gives an empty result. Extra columns are not read.
+
+    The current vectors stay persisted for the result; ``spark.catalog.clearCache()`` lets go of them.
     """
-    current = current_vectors(vectors, keep, index.dim, item_id, vec, at)
+    # Read by several jobs; kept partitioned by id, in memory as far as it goes. A lost part is computed again.
+    current = current_vectors(vectors, keep, index.dim, item_id, vec, at).persist(StorageLevel.MEMORY_AND_DISK)
     classes = cut(copies(current))
     some = not classes.isEmpty()
     distinct = current.join(classes.where("id <> first").select("id"), "id", "left_anti") if some else current
