@@ -29,7 +29,7 @@ class Index:
 
     dim: int = 256
     tables: int = 2
-    probes: int = 3
+    probes: int = 4
     cell_rows: int = 2048
     cell_limit: int = 8192
     depth: int = 2
