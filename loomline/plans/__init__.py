@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("snapshot_queries", "text_queries")
+MODULES = ("snapshot_queries", "text_queries", "history_queries")
 FLAGSHIP = "p2_found"
 
 
