@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("snapshot_queries", "text_queries", "history_queries")
-FLAGSHIP = "p2_found"
+MODULES = ("snapshot_queries", "text_queries", "history_queries", "search_queries")
+FLAGSHIP = "bm25_search"
 
 
 def modules() -> list:
