@@ -112,6 +112,37 @@ def mix_plan(texts: DataFrame, targets: list[Target], budget_tokens: int | None
     return Plan(budget, targets, unique, rates)
 
 
+def _uniform(seed: int, source: Column) -> Column:
+    """The seeded hash of a text in a source as a number in [0, 1)."""
+    return F.pmod(F.xxhash64(F.lit(seed), source, F.col("_h"), F.col("_h2")), F.lit(1 << 53)).cast("double") / float(1 << 53)
+
+
+def calibrate(texts: DataFrame, plan: Plan, seed: int, rounds: int = 3, grid: int = 16) -> Plan:
+    """Moves each source's Poisson mean to where the seeded draw itself, not only its expectation, comes nearest
+    to the wanted tokens. The draw of a text grows with the mean, so each round brackets the wanted total
+    between two of ``grid`` means, by one aggregation of all texts."""
+    rates = dict(plan.rates)
+    bounds = {t.key: (rates[t.key] * 0.5, rates[t.key] * 1.5) for t in plan.targets if 0 < rates[t.key] < 700}
+    caps = {t.key: t.max_repeats for t in plan.targets}
+    wanted = {t.key: plan.wanted(t) for t in plan.targets}
+    use = texts.select("_h", "_h2", "_n", F.explode("_uses").alias("_u")).select("_h", "_h2", "_n", F.col("_u._s").alias("_s"))
+    for _ in range(rounds):
+        if not bounds:
+            break
+        means = {k: [a + (b - a) * i / (grid - 1) for i in range(grid)] for k, (a, b) in bounds.items()}
+        cdfs = F.create_map(*(x for k, ms in means.items() for x in (F.lit(k), F.array(*(F.array(*(F.lit(p) for p in poisson_cdf(m, caps[k]))) for m in ms)))))
+        drawn = use.where(F.col("_s").isin(list(means))).withColumn("_v", _uniform(seed, F.col("_s")))
+        counts = F.transform(F.element_at(cdfs, F.col("_s")), lambda cdf: F.size(F.filter(cdf, lambda p: F.col("_v") >= p)))
+        sums = [F.sum(F.col("_c")[i] * F.col("_n")).alias(f"t{i}") for i in range(grid)]
+        for r in drawn.select("_s", "_n", counts.alias("_c")).groupBy("_s").agg(*sums).collect():
+            k, totals = r["_s"], [r[f"t{i}"] for i in range(grid)]
+            best = min(range(grid), key=lambda i: abs(totals[i] - wanted[k]))
+            rates[k] = means[k][best]
+            above = next((i for i in range(grid) if totals[i] >= wanted[k]), grid - 1)
+            bounds[k] = (means[k][max(0, above - 1)], means[k][above])
+    return Plan(plan.budget, plan.targets, plan.unique_tokens, rates)
+
+
 def _draw_counts(texts: DataFrame, plan: Plan, seed: int) -> DataFrame:
     """(source key, id, tokens, repeats) of every text: the seeded hash of the text, as a uniform number, is put
     through the inverse Poisson distribution of its source. A text that several sources have is drawn for each;
@@ -121,7 +152,7 @@ def _draw_counts(texts: DataFrame, plan: Plan, seed: int) -> DataFrame:
     limit = F.create_map(*(x for k, v in top.items() for x in (F.lit(k), F.lit(v))))
 
     def drawn(u: Column) -> Column:
-        uniform = F.pmod(F.xxhash64(F.lit(seed), u["_s"], F.col("_h"), F.col("_h2")), F.lit(1 << 53)).cast("double") / float(1 << 53)
+        uniform = _uniform(seed, u["_s"])
         return F.size(F.filter(F.element_at(cdf, u["_s"]), lambda p: uniform >= p))
 
     shared = F.array_max(F.transform("_uses", lambda u: F.element_at(limit, u["_s"])))
@@ -140,7 +171,7 @@ def draw_counts(docs: DataFrame, targets: DataFrame, *, item_id: str = "doc_id",
     """(source key, id, tokens, repeats) of every distinct text of every source with a target, and the plan."""
     wanted = read_targets(targets)
     texts = _texts(docs, item_id, text, source, [t.key for t in wanted])
-    plan = mix_plan(texts, wanted, budget_tokens)
+    plan = calibrate(texts, mix_plan(texts, wanted, budget_tokens), seed)
     if not wanted:
         kind = dict(docs.dtypes)[item_id]
         return docs.sparkSession.createDataFrame([], f"_s string, _id {kind}, _n long, _h long, repeats int"), plan
@@ -152,9 +183,9 @@ def mix(docs: DataFrame, targets: DataFrame, *, item_id: str = "doc_id", seed: i
 
     Poisson replication: each source's target repetition rate is its weight's share of the budget over the
     tokens of its distinct texts. The Poisson mean is chosen so that draws, capped at ``max_repeats``, have that
-    mean; a source too small for its share uses every text ``max_repeats`` times. The count of a text comes from
-    the inverse distribution at a hash-seeded uniform number, so it depends on the text, its source and the seed
-    only, not on partitions or on other texts. Each text is then exploded by its count, and the uses are range
+    mean, and then moved to where the seeded draw itself meets the target; a source too small for its share uses
+    every text ``max_repeats`` times. The count of a text comes from the inverse distribution at a hash-seeded
+    uniform number, so it depends on the text, its source's mean and the seed, not on partitions. Each text is then exploded by its count, and the uses are range
     partitioned and sorted by a seeded hash, which shuffles them globally.
 
     Defined cases: sources agree after trimming and lower-casing; rows whose source is null or has no target are
