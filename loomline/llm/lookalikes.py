@@ -27,7 +27,9 @@ NAMES = {"Latn": "Latin", "Cyrl": "Cyrillic", "Grek": "Greek", "Armn": "Armenian
 #: Writing systems that use several scripts at once (UTS 39, augmented script sets).
 SYSTEMS = {"Jpan": ("Hani", "Hira", "Kata"), "Kore": ("Hang", "Hani"), "Hanb": ("Hani", "Bopo")}
 
-ZWJ, ZWNJ = "‍", "‌"
+#: Combining voice marks of kana.
+#: Combining voice marks of kana.
+VOICED = "\u3099\u309a"
 
 # What may stand between words of an emoji sequence, after a virama, or between Arabic letters, and is visible there.
 _KEPT_JOINER = regex.compile(
@@ -190,17 +192,26 @@ def _spell(letters: list, script: str | None) -> str:
     it, else after it, else the order of SCRIPTS."""
     order = SYSTEMS.get(script, (script,)) if script else ()
     certain = [next((s for s in SCRIPTS if s in scripts), None) if members is None else None for _, members, scripts in letters]
+    # For each letter the scripts of the nearest certain letters before and after it, in one pass each way.
+    nearest_before, nearest_after = list(certain), list(certain)
+    for i in range(1, len(certain)):
+        nearest_before[i] = nearest_before[i] or nearest_before[i - 1]
+        nearest_after[-1 - i] = nearest_after[-1 - i] or nearest_after[-i]
     out = []
     for i, (c, members, _) in enumerate(letters):
         if members is None:
             out.append(c)
             continue
-        before = next((s for s in reversed(certain[:i]) if s in members), None)
-        after = next((s for s in certain[i + 1 :] if s in members), None)
+        before, after = nearest_before[i], nearest_after[i]
         if script in members:
             out.append(members[script])
         else:
-            beside = ("Kata",) if "Kata" in (before, after) else (before, after)  # a word in Katakana goes on
+            if after == "Kata":  # a word in Katakana begins or goes on
+                beside = ("Kata",)
+            elif before == "Kata" and "Hira" in members and not (i + 1 < len(letters) and letters[i + 1][0] in VOICED):
+                beside = ("Hira",)  # a particle follows it
+            else:
+                beside = (before, after)
             pick = next((s for s in (*beside, *order, *SCRIPTS) if s in members and (not order or s in order)), None)
             out.append(members[pick] if pick else c)
     return "".join(out)

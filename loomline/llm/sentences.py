@@ -207,7 +207,7 @@ def examples(text: str) -> Iterator[tuple[str, tuple, tuple]]:
             yield ("n" if sure else "u"), feats, keys
 
 
-def fit(rows: list[tuple[str, str, str, int]], steps: int = 250, strength: float = 3.0) -> dict[str, float]:
+def fit(rows: list[tuple[str, str, str, int]], steps: int = 300, strength: float = 1.0) -> dict[str, float]:
     """Weights of the maximum-entropy model, by gradient ascent on the posterior with a Gaussian prior around
     PRIOR. rows: (label, features, evidence keys, count).
 
@@ -257,14 +257,17 @@ def fit(rows: list[tuple[str, str, str, int]], steps: int = 250, strength: float
             x[i, : len(feats)] = [index[f] for f in feats]
         y = np.array([p for p, _, _ in kept], float)
         c = np.array([n for _, _, n in kept])
-        w, square = prior.copy(), np.full(len(prior), 1e-6)
-        for _ in range(steps):
-            z = w[x].sum(axis=1)
+        # Accelerated ascent, each weight at the step that its bound on the curvature allows.
+        bound = 0.25 * width * np.bincount(x.ravel(), np.repeat(c, width), minlength=len(prior)) + strength
+        w = look = prior.copy()
+        for step in range(1, steps + 1):
+            z = look[x].sum(axis=1)
             g = c * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-            grad = np.bincount(x.ravel(), np.repeat(g, width), minlength=len(prior)) + strength * (w - prior)
+            grad = np.bincount(x.ravel(), np.repeat(g, width), minlength=len(prior)) + strength * (look - prior)
             grad[-1] = 0.0
-            square += grad**2
-            w -= 0.5 * grad / np.sqrt(square)
+            new = look - grad / bound
+            look = new + (step - 1) / (step + 2) * (new - w)
+            w = new
     else:
         w = prior
     return {f: round(float(w[i]), 4) for f, i in index.items() if abs(w[i]) > 1e-3}
