@@ -148,3 +148,39 @@ def align_diff(lines: DataFrame, keys: list[str], position: str = "pos") -> Data
         F.max(F.when(old, F.col(position))).alias("old_pos"),
         F.max(F.when(new, F.col(position))).alias("new_pos"),
     )
+
+
+def navigation(hits: DataFrame, docs: DataFrame, log: DataFrame) -> DataFrame:
+    """(qid, rank, target, oid, parent, path, line): where selecting a hit leads. A commit opens its diff against
+    its first parent, or its tree if it is a root; a file or symbol opens at its path and first line."""
+    meta = docs.select("doc_id", "kind", "commit_oid", "path", "line_start").join(F.broadcast(hits.select("qid", "rank", "doc_id")), "doc_id")
+    parents = first_parents(log).select(F.col("oid").alias("commit_oid"), "parent")
+    joined = meta.join(parents, "commit_oid", "left")
+    commit = F.col("kind") == "commit"
+    target = F.when(commit & F.col("parent").isNotNull(), "diff").otherwise("view")
+    return joined.select(
+        "qid",
+        "rank",
+        target.alias("target"),
+        F.col("commit_oid").alias("oid"),
+        F.when(commit, F.col("parent")).alias("parent"),
+        F.when(~commit, F.col("path")).alias("path"),
+        F.when(~commit, F.coalesce("line_start", F.lit(1))).alias("line"),
+    )
+
+
+def topological_depth(log: DataFrame) -> DataFrame:
+    """(oid, depth): the length of the longest way down to a root, an order in which parents come first.
+
+    Rounds of Bellman-Ford over doubled hops: a hop carries the longest way between its ends, so the number of
+    rounds is the logarithm of the depth.
+    """
+    hops = log.select("oid", F.explode("parents").alias("far"), F.lit(1).alias("steps")).join(log.select(F.col("oid").alias("far")), "far", "left_semi").distinct()
+    best = cut(log.select("oid", F.lit(0).alias("depth")).distinct())
+    hops = cut(hops.select("oid", "far", "steps"))
+    while not hops.isEmpty():
+        longer = hops.join(best.select(F.col("oid").alias("far"), "depth"), "far").select("oid", (F.col("steps") + F.col("depth")).alias("depth"))
+        best = cut(best.unionByName(longer).groupBy("oid").agg(F.max("depth").alias("depth")))
+        a, b = hops.alias("a"), hops.alias("b")
+        hops = cut(a.join(b, F.col("a.far") == F.col("b.oid")).select("a.oid", "b.far", (F.col("a.steps") + F.col("b.steps")).alias("steps")).groupBy("oid", "far").agg(F.max("steps").alias("steps")))
+    return best

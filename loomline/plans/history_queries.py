@@ -7,8 +7,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.functions.highlight import highlight
 from loomline.functions.linediff import line_diff
 from loomline.operators import history as H
+from loomline.operators.index import delete
 from loomline.operators.snapshots import file_changes
 from loomline.plans.base import COMMITS_SQL, DOCS_SQL, HEAD_SQL, commits, documents, head_tree
 from loomline.plans.snapshot_queries import CHANGES_SQL
@@ -98,6 +100,26 @@ def stale_docs(spark, sf_dir):
     return H.stale_documents(documents(spark, sf_dir, "path"), _last_changes(spark, sf_dir)).select("doc_id")
 
 
+def incremental_docs(spark, sf_dir):
+    """Documents after an incremental build: those of modified and deleted paths are gone, and the files added or
+    modified have come anew; all others stay as they are."""
+    old = documents(spark, sf_dir, "kind", "title", "path")
+    changes = _last_changes(spark, sf_dir)
+    live = delete(old, H.stale_documents(old, changes)).select("kind", "title", "path")
+    fresh = changes.where(F.col("change").isin("added", "modified")).select("path").distinct()
+    return live.unionByName(fresh.select(F.lit("file").alias("kind"), F.col("path").alias("title"), "path"))
+
+
+def topological_depth(spark, sf_dir):
+    return H.topological_depth(commits(spark, sf_dir, "parents"))
+
+
+def highlight_spans(spark, sf_dir):
+    """Spans of each kind in each source file."""
+    found = highlight(table(spark, sf_dir, "source_files"))
+    return found.groupBy("file_id", "kind").agg(F.count("*").alias("spans"), F.sum(F.col("end") - F.col("start")).alias("characters"))
+
+
 def _diff(spark) -> DataFrame:
     return spark.createDataFrame(DIFF_ROWS, "file string, pos int, kind string, content string")
 
@@ -143,7 +165,7 @@ QUERIES = {
     "commit_log": commit_log, "commit_page": commit_page, "commit_filter": commit_filter, "commit_prefix_search": commit_prefix_search,
     "first_parent_pairs": first_parent_pairs, "adjacent_commit_pairs": adjacent_commit_pairs, "commits_since": commits_since,
     "tree_visible": tree_visible, "snapshot_changes": snapshot_changes, "next_changed": next_changed, "nearest_ancestor": nearest_ancestor,
-    "dir_change_rollup": dir_change_rollup, "stale_docs": stale_docs, "diff_align": diff_align, "diff_stats": diff_stats,
+    "dir_change_rollup": dir_change_rollup, "stale_docs": stale_docs, "incremental_docs": incremental_docs, "topological_depth": topological_depth, "highlight_spans": highlight_spans, "diff_align": diff_align, "diff_stats": diff_stats,
     "line_diff": line_diff_rows, "latency_percentiles": latency_percentiles, "debounce_last": debounce_last, "head_change_stream": head_change_stream,
 }
 
@@ -175,6 +197,10 @@ ORACLES = {
     "dir_change_rollup": _LAST_HEAD + f""", up AS (SELECT repo, unnest({_UP}) AS path FROM last_changes WHERE change <> 'deleted')
         SELECT repo, path, count(*) AS changed FROM up JOIN (SELECT DISTINCT repo, path FROM head WHERE kind = 'directory') USING (repo, path) GROUP BY ALL""",
     "stale_docs": _LAST + f", {DOCS_SQL} SELECT doc_id FROM docs WHERE path IN (SELECT path FROM last_changes WHERE change IN ('modified', 'deleted'))",
+    "incremental_docs": _LAST + f""", {DOCS_SQL} SELECT kind, title, path FROM docs WHERE path IS NULL OR path NOT IN (SELECT path FROM last_changes WHERE change IN ('modified', 'deleted'))
+        UNION ALL SELECT 'file', path, path FROM (SELECT DISTINCT path FROM last_changes WHERE change IN ('added', 'modified'))""",
+    "topological_depth": f"""WITH RECURSIVE {COMMITS_SQL}, ways(oid, depth) AS (SELECT oid, 0 FROM commit_log
+        UNION SELECT c.oid, w.depth + 1 FROM ways w JOIN (SELECT oid, unnest(parents) AS p FROM commit_log) c ON c.p = w.oid) SELECT oid, max(depth) AS depth FROM ways GROUP BY oid""",
     "diff_align": f"""WITH {_DIFF}, b AS (SELECT *, sum(CASE WHEN kind = 'context' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY pos) * 2 - CASE WHEN kind = 'context' THEN 1 ELSE 0 END AS block FROM diff),
         n AS (SELECT *, row_number() OVER (PARTITION BY file, block, kind ORDER BY pos) AS r FROM b)
         SELECT file, max(content) FILTER (kind <> 'added') AS old, max(content) FILTER (kind <> 'removed') AS new,

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from loomline.operators import evaluate as E
 from loomline.operators import grammar
+from loomline.operators import history as H
 from loomline.operators import search as S
-from loomline.plans.base import DOCS_SQL, VECTORS_SQL, documents, vectors
+from loomline.plans.base import COMMITS_SQL, DOCS_SQL, VECTORS_SQL, commits, documents, vectors
 
 LIMIT = 10
 
@@ -118,6 +119,13 @@ def search_hydrate(spark, sf_dir):
     return S.hydrate(hits, docs).select("qid", "rank", "doc_id", "kind", "title", "path")
 
 
+def result_navigation(spark, sf_dir):
+    """Where selecting each hit of the hybrid search leads."""
+    hits = _hybrid(spark, sf_dir, BATCH)[1]
+    docs = documents(spark, sf_dir, "kind", "commit_oid", "path", "line_start")
+    return H.navigation(hits, docs, commits(spark, sf_dir, "parents"))
+
+
 def path_filtered_search(spark, sf_dir):
     return _hybrid(spark, sf_dir, [q for q in BATCH if q.path])[1]
 
@@ -164,7 +172,7 @@ def fixture_violations(spark, sf_dir):
 QUERIES = {
     "bm25_search": bm25_search, "bm25_path_title": bm25_path_title, "term_stats": term_stats, "vector_topk": vector_topk,
     "rrf_fuse": rrf_fuse, "rrf_weighted": rrf_weighted, "rrf_anchor": rrf_anchor, "diagnose": diagnose, "hybrid_search": hybrid_search,
-    "search_hydrate": search_hydrate, "path_filtered_search": path_filtered_search, "path_filter_parse": path_filter_parse,
+    "search_hydrate": search_hydrate, "result_navigation": result_navigation, "path_filtered_search": path_filtered_search, "path_filter_parse": path_filter_parse,
     "eval_per_query": eval_per_query, "eval_overall": eval_overall, "eval_by_category": eval_by_category,
     "negative_violations": negative_violations, "eval_negatives": eval_negatives, "fixture_violations": fixture_violations,
 }
@@ -288,6 +296,10 @@ ORACLES = {
     "diagnose": _LISTS + _rrf_sql(1.0) + f" SELECT r.qid, r.rank, r.doc_id, a.rank AS bm25_rank, b.rank AS vector_rank FROM rrf r LEFT JOIN a ON a.qid = r.qid AND a.doc_id = r.doc_id LEFT JOIN b ON b.qid = r.qid AND b.doc_id = r.doc_id WHERE r.rank <= {LIMIT}",
     "hybrid_search": _hybrid_sql(BATCH) + " SELECT * FROM hybrid",
     "search_hydrate": _hybrid_sql(BATCH) + " SELECT qid, rank, h.doc_id, kind, title, path FROM hybrid h JOIN docs d ON h.doc_id = d.doc_id",
+    "result_navigation": _hybrid_sql(BATCH).replace("WITH ", f"WITH {COMMITS_SQL}, ", 1) + """, fp AS (SELECT c.oid, p.oid AS parent FROM commit_log c LEFT JOIN commit_log p ON c.parents[1] = p.oid)
+        SELECT qid, rank, CASE WHEN kind = 'commit' AND parent IS NOT NULL THEN 'diff' ELSE 'view' END AS target, d.commit_oid AS oid, CASE WHEN kind = 'commit' THEN parent END AS parent,
+               CASE WHEN kind <> 'commit' THEN path END AS path, CASE WHEN kind <> 'commit' THEN coalesce(line_start, 1) END AS line
+        FROM hybrid h JOIN docs d ON h.doc_id = d.doc_id LEFT JOIN fp ON fp.oid = d.commit_oid""",
     "path_filtered_search": _hybrid_sql([q for q in BATCH if q.path]) + " SELECT * FROM hybrid",
     "path_filter_parse": f"""WITH {_values([(q.qid, q.text) for q in BATCH], "q", "qid, t")}
         SELECT qid, CASE WHEN regexp_matches(t, 'path:"[^"]*"') THEN regexp_extract(t, 'path:"([^"]*)"', 1) END AS path, trim(regexp_replace(t, '\\s*path:"[^"]*"\\s*', ' ')) AS rest FROM q""",
