@@ -22,16 +22,18 @@ ID = "id long"
 class Index:
     """Parameters of the index. A vector is put into ``probes`` cells of each of ``tables`` hash tables.
 
-    cell_rows: mean rows of a cell; beyond 2 * dim cells a second, coarser hash is added, so cells keep their
-    size as the collection grows. cell_limit: rows compared at once; larger cells are hashed further, by as many
-    as ``depth`` more hashes, and what still exceeds the limit is compared in blocks, exactly.
+    cell_rows: rows of a cell, at most, on average. The number of cells follows from it and from the size of the
+    collection, so work for each vector stays the same as the collection grows: few cells are the signed axes of
+    the first coordinates of the rotated space, more than 2 * dim cells are pairs of an axis and one of a second,
+    coarser hash. cell_limit: rows compared at once; larger cells are hashed further, by as many as ``depth``
+    more hashes, and what still exceeds the limit is compared in blocks, exactly.
     """
 
     dim: int = 256
     tables: int = 2
     probes: int = 4
-    cell_rows: int = 2048
-    cell_limit: int = 8192
+    cell_rows: int = 8192
+    cell_limit: int = 16384
     depth: int = 2
     spare: int = 3
     seed: int = 1
@@ -71,16 +73,28 @@ def nearest_axes(x: np.ndarray, seed: int, axes: int, probes: int) -> tuple[np.n
     return best * 2 + (np.take_along_axis(y, best, 1) < 0), np.take_along_axis(score, order, 1)
 
 
-def hash_cells(x: np.ndarray, index: Index, coarse_axes: int) -> np.ndarray:
-    """The cells of each unit vector in every table, tables * probes columns of 64-bit keys."""
+def cell_axes(index: Index, rows: int) -> tuple[int, int]:
+    """(axes, coarse axes) of each table for a collection of so many vectors, powers of two; 1 is no hash."""
+    cells, axes, coarse = rows * index.probes / index.cell_rows, 1, 1
+    while axes < cells and axes < 2 * index.dim:
+        axes *= 2
+    while axes * coarse < cells:
+        coarse *= 2
+    return axes, coarse
+
+
+def hash_cells(x: np.ndarray, index: Index, axes: int, coarse: int) -> np.ndarray:
+    """The cells of each unit vector in every table, as columns of 64-bit keys; a single cell if there are no axes."""
+    if axes == 1:
+        return np.zeros((len(x), 1), np.int64)
     out = []
     for t in range(index.tables):
         seed = index.seed * 1000 + t * 10
-        first, score = nearest_axes(x, seed, 2 * index.dim, index.probes)
-        if coarse_axes > 1:
-            second, more = nearest_axes(x, seed + 1, coarse_axes, index.probes)
+        first, score = nearest_axes(x, seed, axes, index.probes)
+        if coarse > 1:
+            second, more = nearest_axes(x, seed + 1, coarse, index.probes)
             total = (score[:, :, None] ** 2 + more[:, None, :] ** 2).reshape(len(x), -1)
-            both = (first[:, :, None].astype(np.int64) * coarse_axes + second[:, None, :]).reshape(len(x), -1)
+            both = (first[:, :, None].astype(np.int64) * coarse + second[:, None, :]).reshape(len(x), -1)
             keep = np.argsort(-total, axis=1, kind="stable")[:, : 2 * index.probes]
             first = np.take_along_axis(both, keep, 1)
         out.append((np.int64(t) << 48) + first.astype(np.int64))
@@ -162,17 +176,14 @@ def _from_small(codes: list[bytes], dim: int) -> np.ndarray:
 
 def to_cells(current: DataFrame, index: Index, rows: int) -> DataFrame:
     """(cell, id, small): every vector in each of its cells, with 8 bits a component."""
-    cells = max(1, rows * index.probes // index.cell_rows)
-    coarse = 1
-    while 2 * index.dim * coarse < cells:
-        coarse *= 2
+    axes, coarse = cell_axes(index, rows)
     dim = index.dim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 4096) for i in range(0, len(batch), 4096)):
                 x = unit(decode(part.column(1).to_pylist(), dim))
-                keys = hash_cells(x, index, coarse)
+                keys = hash_cells(x, index, axes, coarse)
                 small = _binary(_small(x))
                 again = pa.array(np.repeat(np.arange(len(x)), keys.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(again), small.take(again)], names=["cell", "id", "small"])
@@ -234,29 +245,54 @@ def _best(score: np.ndarray, count: int, least: float) -> tuple[np.ndarray, np.n
     return row[good], col[good]
 
 
+def _pairs_from(x: np.ndarray, least: float, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, row) of the pairs of at least ``least`` of which one is among the ``count`` best of the other; each
+    pair is computed once."""
+    rows, cols, scores = [], [], []
+    for i in range(0, len(x), 1024):
+        score = x[i : i + 1024] @ x[i:].T
+        a, b = np.nonzero(score >= least)
+        later = b > a
+        rows.append(a[later] + i)
+        cols.append(b[later] + i)
+        scores.append(score[a[later], b[later]])
+    a, b, c = (np.concatenate(v) for v in (rows, cols, scores))
+    if len(a) and (np.bincount(a, minlength=len(x)) + np.bincount(b, minlength=len(x))).max() > count:
+        ends, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+        order = np.lexsort((-np.tile(c, 2), ends))
+        first = np.searchsorted(ends[order], ends[order])
+        keep = np.unique(pair[order[np.arange(len(order)) - first < count]])
+        a, b = a[keep], b[keep]
+    return a, b
+
+
 def candidate_pairs(cells: DataFrame, index: Index, count: int, least: float) -> DataFrame:
     """(id_a, id_b), id_a < id_b: for each vector the best of each of its cells by the 8-bit cosine."""
     dim = index.dim
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         x, ids, side = _from_small(list(rows["small"]), dim), rows["id"].to_numpy(), rows["side"].to_numpy()
-        left = np.flatnonzero(side < 2)
-        right = np.flatnonzero(side != 1)
-        found = []
-        for p, q in [(left, right)] if not side.any() else [(np.flatnonzero(side == 1), np.flatnonzero(side == 2)), (np.flatnonzero(side == 2), np.flatnonzero(side == 1))]:
-            for i in range(0, len(p), 1024):
-                part = p[i : i + 1024]
-                if not len(q):
-                    continue
-                score = x[part] @ x[q].T
-                score[ids[part][:, None] == ids[q][None, :]] = -2
-                a, b = _best(score, count, least)
-                found.append(np.column_stack([ids[part[a]], ids[q[b]]]))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        found = [np.zeros((0, 2), np.int64)]
+        if not side.any() and least > -1:
+            a, b = _pairs_from(x, least, count)
+            found.append(np.column_stack([ids[a], ids[b]]))
+        else:
+            all_rows = np.arange(len(ids))
+            halves = [np.flatnonzero(side == 1), np.flatnonzero(side == 2)]
+            for p, q in [(all_rows, all_rows)] if not side.any() else [halves, halves[::-1]]:
+                for i in range(0, len(p) if len(q) else 0, 1024):
+                    part = p[i : i + 1024]
+                    score = x[part] @ x[q].T
+                    score[ids[part][:, None] == ids[q][None, :]] = -2
+                    a, b = _best(score, count, least)
+                    found.append(np.column_stack([ids[part[a]], ids[q[b]]]))
+        pairs = np.concatenate(found)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
         pairs = np.unique(np.sort(pairs, axis=1), axis=0)
         return pd.DataFrame({"id_a": pairs[:, 0], "id_b": pairs[:, 1]})
 
-    tasks = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * index.dim * index.tables // 8)
+    # Cells are few bytes but much work, so the tasks follow the cells and not the bytes.
+    tasks = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * index.dim * index.tables // 4)
     keys = ["cell", "block_a", "block_b"]
     return cells.repartition(tasks, *keys).groupBy(*keys).applyInPandas(compare, "id_a long, id_b long").distinct()
 
