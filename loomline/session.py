@@ -21,6 +21,7 @@ def build_session(master: str = "local[8]", app: str = "loomline", **conf: objec
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
