@@ -25,8 +25,9 @@ class Index:
     cell_rows: rows of a cell, at most, on average. The number of cells follows from it and from the size of the
     collection, so work for each vector stays the same as the collection grows: few cells are the signed axes of
     the first coordinates of the rotated space, more than 2 * dim cells are pairs of an axis and one of a second,
-    coarser hash. cell_limit: rows compared at once; larger cells are hashed further, by as many as ``depth``
-    more hashes, and what still exceeds the limit is compared in blocks, exactly.
+    coarser hash. cell_limit: rows compared at once; larger cells are compared in pairs of blocks, so that all
+    their rows meet. depth: as many further hashes split a larger cell first; that is less work, but vectors of
+    the cell that share no part of it are not compared, so there are none unless asked for.
     """
 
     dim: int = 256
@@ -34,7 +35,7 @@ class Index:
     probes: int = 5
     cell_rows: int = 8192
     cell_limit: int = 16384
-    depth: int = 2
+    depth: int = 0
     spare: int = 5
     seed: int = 1
 
@@ -215,8 +216,8 @@ def _rehash(rows: DataFrame, index: Index, level: int) -> DataFrame:
 
 
 def balanced(cells: DataFrame, index: Index) -> DataFrame:
-    """(cell, block_a, block_b, id, small, side): cells within the limit as they are; larger ones are hashed
-    further, and those that stay too large become pairs of blocks, so that no row is dropped."""
+    """(cell, block_a, block_b, id, small, side): cells within the limit as they are; larger ones become pairs of
+    blocks, in which every two rows of the cell meet (after ``depth`` further hashes, if there are any)."""
     parts = []
     for level in range(index.depth + 1):
         sizes = cut(cells.groupBy("cell").agg(F.count("*").alias("rows")).where(F.col("rows") > index.cell_limit))

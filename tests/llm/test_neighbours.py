@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomline.llm import neighbours as N
 
@@ -88,3 +89,19 @@ def test_copies_ties_and_dirty_rows(spark):
     assert (0, 1) in pairs and (101, 110) in pairs and all(a < b for a, b in pairs)
     assert N.nearest(df.where("false"), index=INDEX).count() == 0
     assert N.nearest(df.where("doc_id = 101"), index=INDEX).count() == 0
+
+
+def test_large_cells_are_compared_whole(spark):
+    """A topic of a third of all vectors, in cells far beyond the limit: all pairs of a cell meet."""
+    rng = np.random.RandomState(4)
+    x = rng.randn(600, DIM)
+    x[::3] = rng.randn(DIM) + 0.6 * rng.randn(200, DIM)
+    rows = [(7, i, bytes(c)) for i, c in enumerate(N._small(N.unit(x)))]
+    cells = spark.createDataFrame(rows, "cell long, id long, small binary")
+    whole = N.balanced(cells, N.Index(dim=DIM, cell_limit=64))
+    met = {(a, b) for r in whole.groupBy("cell", "block_a", "block_b").agg(F.collect_list("id").alias("ids")).collect() for a in r.ids for b in r.ids if a < b}
+    assert len(met) == 600 * 599 // 2
+    s, best = brute(x)
+    pairs = {(r.id_a, r.id_b) for r in N.candidate_pairs(whole, N.Index(dim=DIM, cell_limit=64), 10, -1.0).collect()}
+    want = [(min(a, b), max(a, b)) for a in range(0, 600, 3) for b in range(600) if a != b and s[a, b] >= best[a, 4]]
+    assert np.mean([p in pairs for p in want]) == 1
