@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -20,12 +20,13 @@ ID = "id long"
 
 @dataclass(frozen=True)
 class Index:
-    """Parameters of the index. A vector is put into ``probes`` cells of each of ``tables`` hash tables.
+    """Parameters of the index. A vector is put into ``probes`` cells, or more, of each of ``tables`` hash tables.
 
     cell_rows: rows of a cell, at most, on average. The number of cells follows from it and from the size of the
-    collection, so work for each vector stays the same as the collection grows: few cells are the signed axes of
-    the first coordinates of the rotated space, more than 2 * dim cells are pairs of an axis and one of a second,
-    coarser hash. cell_limit: rows compared at once; larger cells are compared in pairs of blocks, so that all
+    collection: few cells are the signed axes of the first coordinates of the rotated space, more than 2 * dim
+    cells are pairs of an axis and one of a second, coarser hash. recall: share of the pairs of the wanted cosine
+    that shall meet in a cell, by ``modelled_recall``; as cells become more and smaller parts of the collection,
+    probes grow until it is reached, and work for each vector with them (see ``grown``). cell_limit: rows compared at once; larger cells are compared in pairs of blocks, so that all
     their rows meet. depth: as many further hashes split a larger cell first; that is less work, but vectors of
     the cell that share no part of it are not compared, so there are none unless asked for.
     """
@@ -38,6 +39,11 @@ class Index:
     depth: int = 0
     spare: int = 5
     seed: int = 1
+    recall: float = 0.995
+
+
+#: The cosine for which probes are chosen if a search states none; and the most probes of a table.
+WANTED_COSINE, MAX_PROBES = 0.5, 512
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -63,15 +69,14 @@ def rotation(dim: int, seed: int) -> np.ndarray:
 
 def nearest_axes(x: np.ndarray, seed: int, axes: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
     """(cells, scores): the ``probes`` signed axes nearest to each rotated vector, best first; only the first
-    ``axes`` / 2 coordinates are used."""
+    ``axes`` / 2 coordinates are used, with both of their signs."""
     y = (x @ rotation(x.shape[1], seed))[:, : max(1, axes // 2)]
-    size = np.abs(y)
-    probes = min(probes, y.shape[1])
-    best = np.argpartition(-size, probes - 1, axis=1)[:, :probes]
-    score = np.take_along_axis(size, best, 1)
+    signed = np.stack([y, -y], 2).reshape(len(y), -1)
+    probes = min(probes, signed.shape[1])
+    best = np.argpartition(-signed, probes - 1, axis=1)[:, :probes]
+    score = np.take_along_axis(signed, best, 1)
     order = np.argsort(-score, axis=1, kind="stable")
-    best = np.take_along_axis(best, order, 1)
-    return best * 2 + (np.take_along_axis(y, best, 1) < 0), np.take_along_axis(score, order, 1)
+    return np.take_along_axis(best, order, 1), np.take_along_axis(score, order, 1)
 
 
 def cell_axes(index: Index, rows: int) -> tuple[int, int]:
@@ -94,14 +99,38 @@ def hash_cells(x: np.ndarray, index: Index, axes: int, coarse: int) -> np.ndarra
         first, score = nearest_axes(x, seed, axes, index.probes)
         if coarse > 1:
             second, more = nearest_axes(x, seed + 1, coarse, index.probes)
-            total = (score[:, :, None] ** 2 + more[:, None, :] ** 2).reshape(len(x), -1)
-            both = (first[:, :, None].astype(np.int64) * coarse + second[:, None, :]).reshape(len(x), -1)
-            keep = np.argsort(-total, axis=1, kind="stable")[:, : 2 * index.probes]
-            first = np.take_along_axis(both, keep, 1)
+            # The best pairs are those nearest to the best of both; (i + 1) * (j + 1) pairs are no worse than (i, j).
+            i, j = (v.ravel() for v in np.indices((first.shape[1], second.shape[1])))
+            some = (i + 1) * (j + 1) <= index.probes
+            i, j = i[some], j[some]
+            off = (score[:, :1] - score[:, i]) ** 2 + (more[:, :1] - more[:, j]) ** 2
+            keep = np.argsort(off, axis=1, kind="stable")[:, : index.probes]
+            first = first[np.arange(len(x))[:, None], i[keep]].astype(np.int64) * coarse + second[np.arange(len(x))[:, None], j[keep]]
         out.append((np.int64(t) << 48) + first.astype(np.int64))
     return np.concatenate(out, axis=1)
 
 
+def modelled_recall(index: Index, rows: int, cosine: float, pairs: int = 1000) -> float:
+    """Share of random pairs of unit vectors of this cosine that meet in a cell of a collection of so many vectors."""
+    axes, coarse = cell_axes(index, rows)
+    if axes == 1:
+        return 1.0
+    rng = np.random.RandomState(index.seed)
+    a, b = rng.randn(2, pairs, index.dim)
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = cosine * a + np.sqrt(max(0.0, 1 - cosine**2)) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    x, y = (hash_cells(v.astype(np.float32), index, axes, coarse) for v in (a, b))
+    return float(np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(x, y, strict=True)]))
+
+
+def grown(index: Index, rows: int, cosine: float) -> Index:
+    """The index with as many probes, its own number at least, as modelled recall at the cosine needs."""
+    while index.probes < MAX_PROBES and modelled_recall(index, rows, cosine) < index.recall:
+        index = replace(index, probes=min(MAX_PROBES, -(-index.probes * 7 // 5)))
+    return index
+
+
 def _binary(rows: np.ndarray) -> pa.Array:
     """One fixed-size byte string for each row of a matrix, as a binary column."""
     raw = np.ascontiguousarray(rows)
@@ -186,11 +215,11 @@ def _from_small(codes: list[bytes]) -> np.ndarray:
 def to_cells(current: DataFrame, index: Index, rows: int) -> DataFrame:
     """(cell, id, small): every vector in each of its cells, with 6 bits a component."""
     axes, coarse = cell_axes(index, rows)
-    dim = index.dim
+    dim, step = index.dim, max(64, 4096 * 5 // max(5, index.probes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 4096) for i in range(0, len(batch), 4096)):
+            for part in (batch.slice(i, step) for i in range(0, len(batch), step)):
                 x = unit(decode(part.column(1).to_pylist(), dim))
                 keys = hash_cells(x, index, axes, coarse)
                 small = _binary(_small(x))
@@ -399,7 +428,9 @@ def nearest(
     """(id, rank, neighbour, cosine): for every vector the k most similar others, best first, ties by lower id.
 
     Cross-polytope hashing: fast Hadamard pseudo-rotations assign unit vectors to the nearest signed axis, and
-    multiprobe tables, each vector in its ``probes`` nearest cells of each table, collect candidates. Within a
+    multiprobe tables, each vector in its nearest cells of each table, collect candidates. The number of probes
+    follows from the size of the collection, so that pairs of the wanted cosine (``least_cosine``, else
+    ``exact_below``, else 0.5) are modelled to meet at ``index.recall``; nearer pairs meet more often. Within a
     cell candidates are compared with 6 bits a component; the best are reranked exactly with the full vectors.
     Copies travel as 6 bits a component, so a vector's full form is shuffled once.
 
@@ -422,6 +453,8 @@ def nearest(
     distinct = current.join(classes.where("id <> first").select("id"), "id", "left_anti") if some else current
     rows = current.select("id").count()
     # The 6-bit cosine is off by 0.0025 (standard deviation, at 256 components); the margin is six times that.
+    wanted = next((c for c in (least_cosine, exact_below) if c is not None), WANTED_COSINE)
+    index = grown(index, rows, wanted)
     low = -1.0 if least_cosine is None else least_cosine - 0.015
     cells = balanced(to_cells(distinct, index, rows), index)
     pairs = candidate_pairs(cells, index, k + index.spare, low)

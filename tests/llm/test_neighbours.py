@@ -105,3 +105,25 @@ def test_large_cells_are_compared_whole(spark):
     pairs = {(r.id_a, r.id_b) for r in N.candidate_pairs(whole, N.Index(dim=DIM, cell_limit=64), 10, -1.0).collect()}
     want = [(min(a, b), max(a, b)) for a in range(0, 600, 3) for b in range(600) if a != b and s[a, b] >= best[a, 4]]
     assert np.mean([p in pairs for p in want]) == 1
+
+
+@pytest.mark.parametrize("rows", [100_000, 1_200_000, 10_000_000])
+@pytest.mark.parametrize("cosine", [0.5, 0.9])
+def test_probes_grow_with_the_collection(rows, cosine):
+    """Recall of the pairs of the wanted cosine doesn't fall, and cells stay of one size."""
+    index = N.grown(N.Index(), rows, cosine)
+    axes, coarse = N.cell_axes(index, rows)
+    assert rows * index.probes / (axes * coarse) <= index.cell_rows
+    rng = np.random.RandomState(9)
+    a, b = rng.randn(2, 400, 256)
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    x, y = (N.hash_cells(v.astype(np.float32), index, axes, coarse) for v in (a, b))
+    assert x.shape[1] == index.tables * index.probes
+    assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(x, y, strict=True)]) >= 0.95
+
+
+def test_both_signs_of_a_coarse_hash_are_probed():
+    cells, _ = N.nearest_axes(np.random.RandomState(3).randn(50, DIM).astype(np.float32), 1, 2, 5)
+    assert sorted(set(map(tuple, np.sort(cells, axis=1)))) == [(0, 1)]
