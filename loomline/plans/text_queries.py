@@ -125,10 +125,8 @@ def extract_symbols(spark, sf_dir):
 
 
 def chunk_to_meta(spark, sf_dir):
-    """Documents of commits and of files that go in whole, with their titles."""
-    files = indexable(table(spark, sf_dir, "source_files"))
-    whole = files.where(F.octet_length("content") < T.WHOLE_FILE_BYTES)
-    chunks = commit_chunks(commits(spark, sf_dir)).unionByName(file_chunks(whole), allowMissingColumns=True)
+    """Documents of commits, of files that go in whole and of the symbols of large files, with their titles."""
+    chunks = commit_chunks(commits(spark, sf_dir)).unionByName(file_chunks(table(spark, sf_dir, "source_files")), allowMissingColumns=True)
     return chunk_meta(chunks).select("kind", "title", "commit_oid", "path", "line_start", "line_end")
 
 
