@@ -18,6 +18,16 @@ def query(name):
     return __spark_entry__.queries()[name]
 
 
+def duck(sql):
+    """Rows of a statement over the smallest tables."""
+    import duckdb
+
+    c = duckdb.connect()
+    for f in os.listdir(SF):
+        c.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM read_parquet('{SF}/{f}')")
+    return set(c.execute(sql).fetchall())
+
+
 def test_chunk_to_meta_has_large_files(spark, tmp_path):
     pad = "// pad\n" * 3000
     files = [
@@ -38,3 +48,36 @@ def test_chunk_to_meta_has_large_files(spark, tmp_path):
         ("file", "bare.rs", "c1", "bare.rs", None, None),
         ("file", "notes.txt", "c1", "notes.txt", None, None),
     }
+
+
+@pytest.fixture(scope="module")
+def vector_tables(tmp_path_factory, spark):
+    """90 documents with vectors, some of them copies, so that scores tie."""
+    rng = np.random.RandomState(6)
+    x = rng.randn(90, 256).astype(np.float32)
+    x[30:45] = x[60]
+    folder = str(tmp_path_factory.mktemp("vectors"))
+    spark.createDataFrame([(i, [float(a) for a in v], T0) for i, v in enumerate(x)], "doc_id long, vec array<float>, encoded_at timestamp").write.parquet(f"{folder}/doc_vectors.parquet")
+    return folder, x.astype(np.float64)
+
+
+@pytest.mark.parametrize("most", [10_000, 4])
+def test_vector_topk_takes_all_queries(spark, vector_tables, monkeypatch, most):
+    from loomline.operators import search
+
+    monkeypatch.setattr(search, "MAX_QUERIES", most)
+    folder, x = vector_tables
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = np.round(u @ u.T, 9)
+    want = [(q, r + 1, int(d), round(score[q, d], 6)) for q in range(0, 90, 20) for r, d in enumerate(np.lexsort((np.arange(90), -score[q]))[:10])]
+    assert sorted(tuple(r) for r in query("vector_topk")(spark, folder).collect()) == [(q, r, d, pytest.approx(s, abs=2e-6)) for q, r, d, s in want]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_bm25_path_title_takes_the_whole_batch(spark):
+    from loomline.operators import grammar
+    from loomline.plans import search_queries as Q
+
+    got = {tuple(r) for r in query("bm25_path_title")(spark, SF).collect()}
+    assert got == duck(f"WITH {Q.DOCS_SQL}, {Q._bm25_sql(Q.BATCH, grammar.PATH_TITLE_WEIGHTS)} SELECT qid, rank, doc_id, score FROM words WHERE rank <= {Q.LIMIT}")
+    assert {r[0] for r in got} - {1, 2, 3}
