@@ -64,7 +64,7 @@ def bm25_path_title(spark, sf_dir):
 
 def term_stats(spark, sf_dir):
     """Document frequency and number of each term of each field, and the fields' mean length."""
-    rows = S.analysed(documents(spark, sf_dir, "title", "path_terms"), ["path_terms", "title"])
+    rows = S.analysed(documents(spark, sf_dir, "title", "path_terms", "body"), ["path_terms", "title", "body"])
     counts = S.postings(rows).groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
     return counts.join(F.broadcast(S.field_stats(rows).select("field", F.round("avgdl", 6).alias("avgdl"))), "field")
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+from collections import Counter
 from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 T0 = datetime(2024, 1, 1)
@@ -81,3 +83,17 @@ def test_bm25_path_title_takes_the_whole_batch(spark):
     got = {tuple(r) for r in query("bm25_path_title")(spark, SF).collect()}
     assert got == duck(f"WITH {Q.DOCS_SQL}, {Q._bm25_sql(Q.BATCH, grammar.PATH_TITLE_WEIGHTS)} SELECT qid, rank, doc_id, score FROM words WHERE rank <= {Q.LIMIT}")
     assert {r[0] for r in got} - {1, 2, 3}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_term_stats_has_the_body(spark):
+    from loomline.functions.text import bigrams
+    from loomline.plans.base import documents
+
+    docs = {}
+    for i, grams in documents(spark, SF, "body").where("body IS NOT NULL").select("doc_id", bigrams(F.col("body"))).collect():
+        docs[i] = Counter(grams)
+    df, n = Counter(g for c in docs.values() for g in c), sum(docs.values(), Counter())
+    mean = round(n.total() / len(docs), 6)
+    got = {r.term: (r.df, r.n, r.avgdl) for r in query("term_stats")(spark, SF).where("field = 'body'").collect()}
+    assert got == {g: (df[g], n[g], pytest.approx(mean, abs=2e-6)) for g in n} and got
