@@ -20,7 +20,7 @@ from loomline.streaming.head import head_changes, read_observations
 FILTER, PREFIX, REPO = "index", "relo", "kelpforge"
 COLLAPSED = ["src/view", "docs", "crates/core"]
 
-#: A small diff: (file, pos, kind, content).
+#: A small diff, that of the oracles and a unit test: (file, pos, kind, content).
 DIFF_ROWS = [
     ("a.rs", 0, "context", "fn main() {"), ("a.rs", 1, "removed", "  let x = 1;"), ("a.rs", 2, "removed", "  let y = 2;"), ("a.rs", 3, "added", "  let x = 3;"),
     ("a.rs", 4, "context", "}"), ("a.rs", 5, "added", "// end"), ("b.rs", 0, "added", "new"), ("b.rs", 1, "added", "file"), ("c.rs", 0, "removed", "old"),
@@ -120,16 +120,13 @@ def highlight_spans(spark, sf_dir):
     return found.groupBy("file_id", "kind").agg(F.count("*").alias("spans"), F.sum(F.col("end") - F.col("start")).alias("characters"))
 
 
-def _diff(spark) -> DataFrame:
-    return spark.createDataFrame(DIFF_ROWS, "file string, pos int, kind string, content string")
-
-
 def diff_align(spark, sf_dir):
-    return H.align_diff(_diff(spark), ["file"]).select("file", "old", "new", "old_pos", "new_pos")
+    """The diff of each source file side by side."""
+    return H.align_diff(line_diff_rows(spark, sf_dir), ["file_id"]).select(F.col("file_id").alias("file"), "old", "new", "old_pos", "new_pos")
 
 
 def diff_stats(spark, sf_dir):
-    return H.diff_stats(_diff(spark), ["file"])
+    return H.diff_stats(line_diff_rows(spark, sf_dir), ["file_id"]).withColumnRenamed("file_id", "file")
 
 
 def line_diff_rows(spark, sf_dir):

@@ -97,3 +97,23 @@ def test_term_stats_has_the_body(spark):
     mean = round(n.total() / len(docs), 6)
     got = {r.term: (r.df, r.n, r.avgdl) for r in query("term_stats")(spark, SF).where("field = 'body'").collect()}
     assert got == {g: (df[g], n[g], pytest.approx(mean, abs=2e-6)) for g in n} and got
+
+
+def test_diffs_of_all_source_files(spark, tmp_path):
+    files = [(1, "a {\n  b\n}\nc\n}\n"), (2, "x\n"), (3, "}\n}\ny {\n}\n"), (4, None)]
+    spark.createDataFrame(files, "file_id long, content string").write.parquet(str(tmp_path / "source_files.parquet"))
+    assert {tuple(r) for r in query("diff_stats")(spark, str(tmp_path)).collect()} == {(1, 0, 2), (3, 0, 3)}
+    rows = {tuple(r) for r in query("diff_align")(spark, str(tmp_path)).collect()}
+    assert rows == {(1, "a {", "a {", 0, 0), (1, "  b", "  b", 1, 1), (1, "}", None, 2, None), (1, "c", "c", 3, 3), (1, "}", None, 4, None)} | {(3, "}", None, 0, None), (3, "}", None, 1, None), (3, "y {", "y {", 2, 2), (3, "}", None, 3, None)}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_small_diff(spark):
+    """The nine lines of the SQL, which has no table."""
+    from loomline.operators import history as H
+    from loomline.plans import history_queries as Q
+
+    lines = spark.createDataFrame(Q.DIFF_ROWS, "file string, pos int, kind string, content string")
+    aligned = H.align_diff(lines, ["file"]).select("file", "old", "new", "old_pos", "new_pos")
+    assert {tuple(r) for r in aligned.collect()} == duck(Q.ORACLES["diff_align"])
+    assert {tuple(r) for r in H.diff_stats(lines, ["file"]).collect()} == duck(Q.ORACLES["diff_stats"])
