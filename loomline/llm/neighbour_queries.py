@@ -25,7 +25,7 @@ def p4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, docs = table(spark, sf_dir, "doc_vectors"), table(spark, sf_dir, "search_docs")
     current = current_vectors(vectors, docs, INDEX.dim, "doc_id", "vec", "encoded_at")
     asked = current.select("id").where("id % 20 = 0")
-    exact = both_ways(rerank(search_blocks(asked, current, INDEX.dim, 10), current, INDEX.dim, None))
+    exact = both_ways(rerank(search_blocks(asked, current, INDEX.dim, 5), current, INDEX.dim, None))
     true = top(exact.join(asked, "id", "left_semi"), 5)
     hashed = nearest(vectors, docs, index=INDEX).select(F.col("doc_id").alias("id"), "neighbour", F.lit(1).alias("hit"))
     band = F.when(F.col("cosine") >= 0.9, "0.9").when(F.col("cosine") >= 0.5, "0.5").otherwise("below")

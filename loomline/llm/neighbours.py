@@ -37,7 +37,6 @@ class Index:
     cell_rows: int = 8192
     cell_limit: int = 16384
     depth: int = 0
-    spare: int = 5
     seed: int = 1
     recall: float = 0.995
 
@@ -45,6 +44,9 @@ class Index:
 #: The cosine for which probes are chosen if a search states none; and the most probes of a table.
 WANTED_COSINE, MAX_PROBES = 0.5, 512
 
+#: The 6-bit cosine is off by 0.0025 (standard deviation, at 256 components); the margin is six times that.
+MARGIN = 0.015
+
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of the rows, scaled to keep their length."""
@@ -268,24 +270,16 @@ def balanced(cells: DataFrame, index: Index) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, out)
 
 
-def _best(score: np.ndarray, count: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the ``count`` best entries of each row that reach ``least``."""
-    if least > -1:
-        row, col = np.nonzero(score >= least)
-        many = np.bincount(row, minlength=len(score)) > count if len(row) else np.zeros(len(score), bool)
-        if not many.any():
-            return row, col
-    count = min(count, score.shape[1])
-    col = np.argpartition(-score, count - 1, axis=1)[:, :count]
-    row = np.repeat(np.arange(len(score)), count)
-    col = col.ravel()
-    good = score[row, col] >= max(least, -1.5)
-    return row[good], col[good]
-
-
-def _pairs_from(x: np.ndarray, least: float, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, row) of the pairs of at least ``least`` of which one is among the ``count`` best of the other; each
-    pair is computed once."""
+def _best(score: np.ndarray, k: int, least: float, margin: float = MARGIN) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the entries of each row within the margin of its ``k``-th best, or better, that reach ``least``."""
+    k = min(k, score.shape[1])
+    from_ = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k] - margin
+    return np.nonzero(score >= np.maximum(from_, max(least, -1.5))[:, None])
+
+
+def _pairs_from(x: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, row) of the pairs of at least ``least`` that for one of them are within the margin of its ``k``-th
+    best, or better; each pair is computed once."""
     rows, cols, scores = [], [], []
     for i in range(0, len(x), 1024):
         score = x[i : i + 1024] @ x[i:].T
@@ -295,24 +289,26 @@ def _pairs_from(x: np.ndarray, least: float, count: int) -> tuple[np.ndarray, np
         cols.append(b[later] + i)
         scores.append(score[a[later], b[later]])
     a, b, c = (np.concatenate(v) for v in (rows, cols, scores))
-    if len(a) and (np.bincount(a, minlength=len(x)) + np.bincount(b, minlength=len(x))).max() > count:
-        ends, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
-        order = np.lexsort((-np.tile(c, 2), ends))
-        first = np.searchsorted(ends[order], ends[order])
-        keep = np.unique(pair[order[np.arange(len(order)) - first < count]])
+    if len(a) and (np.bincount(a, minlength=len(x)) + np.bincount(b, minlength=len(x))).max() > k:
+        ends, pair, c = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2), np.tile(c, 2)
+        order = np.lexsort((-c, ends))
+        ends, c = ends[order], c[order]
+        kth = np.minimum(np.searchsorted(ends, ends) + k, np.searchsorted(ends, ends, "right")) - 1
+        keep = np.unique(pair[order[c >= c[kth] - MARGIN]])
         a, b = a[keep], b[keep]
     return a, b
 
 
-def candidate_pairs(cells: DataFrame, index: Index, count: int, least: float) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: for each vector the best of each of its cells by the 6-bit cosine."""
+def candidate_pairs(cells: DataFrame, index: Index, k: int, least: float) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: for each vector those of each of its cells whose 6-bit cosine is within the
+    margin of the ``k``-th best of the cell, or better."""
     dim = index.dim
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         x, ids, side = _from_small(list(rows["small"])), rows["id"].to_numpy(), rows["side"].to_numpy()
         found = [np.zeros((0, 2), np.int64)]
         if not side.any() and least > -1:
-            a, b = _pairs_from(x, least, count)
+            a, b = _pairs_from(x, least, k)
             found.append(np.column_stack([ids[a], ids[b]]))
         else:
             all_rows = np.arange(len(ids))
@@ -322,7 +318,7 @@ def candidate_pairs(cells: DataFrame, index: Index, count: int, least: float) ->
                     part = p[i : i + 1024]
                     score = x[part] @ x[q].T
                     score[ids[part][:, None] == ids[q][None, :]] = -2
-                    a, b = _best(score, count, least)
+                    a, b = _best(score, k, least)
                     found.append(np.column_stack([ids[part[a]], ids[q[b]]]))
         pairs = np.concatenate(found)
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
@@ -381,22 +377,19 @@ def _with_copies(found: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     return joined.select(F.coalesce("_member", "id").alias("id"), "neighbour", "cosine").where("id <> neighbour").distinct()
 
 
-def search_blocks(queries: DataFrame, current: DataFrame, dim: int, count: int, block_rows: int = 16384) -> DataFrame:
-    """Candidate pairs of a stated query set (ids) against all vectors, in tiles of query and data blocks."""
+def search_blocks(queries: DataFrame, current: DataFrame, dim: int, k: int, block_rows: int = 16384) -> DataFrame:
+    """Candidate pairs of a stated query set (ids) against all vectors, in tiles of query and data blocks: the ``k``
+    best of each tile by the full vectors, and what single precision cannot tell from them."""
     n_q, n_d = (max(1, -(-df.count() // block_rows)) for df in (queries, current))
     own = F.xxhash64("id")
 
-    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _binary(_small(unit(decode(batch.column(1).to_pylist(), dim))))], names=["id", "small"])
-
-    data = current.select("id", "code").mapInArrow(small, "id long, small binary")
+    data = current.select("id", "code")
     asked = data.join(queries.select("id").distinct(), "id", "left_semi")
-    q = asked.select(F.pmod(own, F.lit(n_q)).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))).alias("d"), "id", "small", F.lit(1).alias("side"))
-    d = data.select(F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q"), F.pmod(own, F.lit(n_d)).alias("d"), "id", "small", F.lit(0).alias("side"))
+    q = asked.select(F.pmod(own, F.lit(n_q)).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))).alias("d"), "id", "code", F.lit(1).alias("side"))
+    d = data.select(F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q"), F.pmod(own, F.lit(n_d)).alias("d"), "id", "code", F.lit(0).alias("side"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        x, ids, side = _from_small(list(rows["small"])), rows["id"].to_numpy(), rows["side"].to_numpy()
+        x, ids, side = unit(decode(list(rows["code"]), dim)), rows["id"].to_numpy(), rows["side"].to_numpy()
         p, other = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
         found = [np.zeros((0, 2), np.int64)]
         for i in range(0, len(p), 1024):
@@ -404,12 +397,12 @@ def search_blocks(queries: DataFrame, current: DataFrame, dim: int, count: int,
             if len(other):
                 score = x[part] @ x[other].T
                 score[ids[part][:, None] == ids[other][None, :]] = -2
-                a, b = _best(score, count, -1)
+                a, b = _best(score, k, -1, 1e-6)
                 found.append(np.column_stack([ids[part[a]], ids[other[b]]]))
         pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
         return pd.DataFrame({"id_a": pairs[:, 0], "id_b": pairs[:, 1]})
 
-    tiles = q.select("q", "d", "id", "small", "side").unionByName(d.select("q", "d", "id", "small", "side"))
+    tiles = q.select("q", "d", "id", "code", "side").unionByName(d.select("q", "d", "id", "code", "side"))
     return tiles.repartition(max(1, n_q * n_d), "q", "d").groupBy("q", "d").applyInPandas(compare, "id_a long, id_b long").distinct()
 
 
@@ -431,7 +424,7 @@ def nearest(
     multiprobe tables, each vector in its nearest cells of each table, collect candidates. The number of probes
     follows from the size of the collection, so that pairs of the wanted cosine (``least_cosine``, else
     ``exact_below``, else 0.5) are modelled to meet at ``index.recall``; nearer pairs meet more often. Within a
-    cell candidates are compared with 6 bits a component; the best are reranked exactly with the full vectors.
+    cell candidates are compared with 6 bits a component; all within ``MARGIN`` of the k-th best are reranked exactly.
     Copies travel as 6 bits a component, so a vector's full form is shuffled once.
 
     least_cosine: neighbours below it are not wanted, and are dropped as early as they are known to be below.
@@ -452,18 +445,17 @@ def nearest(
     some = not classes.isEmpty()
     distinct = current.join(classes.where("id <> first").select("id"), "id", "left_anti") if some else current
     rows = current.select("id").count()
-    # The 6-bit cosine is off by 0.0025 (standard deviation, at 256 components); the margin is six times that.
     wanted = next((c for c in (least_cosine, exact_below) if c is not None), WANTED_COSINE)
     index = grown(index, rows, wanted)
-    low = -1.0 if least_cosine is None else least_cosine - 0.015
+    low = -1.0 if least_cosine is None else least_cosine - MARGIN
     cells = balanced(to_cells(distinct, index, rows), index)
-    pairs = candidate_pairs(cells, index, k + index.spare, low)
+    pairs = candidate_pairs(cells, index, k, low)
     found = both_ways(rerank(pairs, current, index.dim, least_cosine))
     if exact_below is not None:
         found = cut(found)
         sure = found.where(F.col("cosine") >= exact_below).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
         isolated = cut(distinct.select("id").join(sure, "id", "left_anti"))
-        again = search_blocks(isolated, distinct, index.dim, k + index.spare)
+        again = search_blocks(isolated, distinct, index.dim, k)
         found = found.unionByName(both_ways(rerank(again, current, index.dim, least_cosine))).distinct()
     found = top(found, k)
     if some:

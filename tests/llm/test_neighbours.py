@@ -127,3 +127,24 @@ def test_probes_grow_with_the_collection(rows, cosine):
 def test_both_signs_of_a_coarse_hash_are_probed():
     cells, _ = N.nearest_axes(np.random.RandomState(3).randn(50, DIM).astype(np.float32), 1, 2, 5)
     assert sorted(set(map(tuple, np.sort(cells, axis=1)))) == [(0, 1)]
+
+
+@pytest.mark.parametrize("least", [-1.0, 0.5])
+def test_true_neighbours_of_nearly_equal_cosine_are_candidates(spark, least):
+    """In a tight topic more than a few partners are as good as the best by the 6-bit cosine; none may fall out."""
+    rng = np.random.RandomState(8)
+    x = rng.randn(256) + 0.2 * rng.randn(1500, 256)
+    s, best = brute(x)
+    cells = spark.createDataFrame([(7, i, bytes(c)) for i, c in enumerate(N._small(N.unit(x)))], "cell long, id long, small binary")
+    index = N.Index()
+    got = {(r.id_a, r.id_b) for r in N.candidate_pairs(N.balanced(cells, index), index, 5, least).collect()}
+    assert all((min(a, b), max(a, b)) in got for a, b in np.argwhere(s >= best[:, 4:5]))
+
+
+def test_search_in_blocks_is_exact(spark):
+    rng = np.random.RandomState(10)
+    x = (rng.randn(DIM) + 0.05 * rng.randn(800, DIM)).astype(np.float32)
+    s, best = brute(x.astype(np.float64))
+    current = N.current_vectors(table(spark, x), None, DIM, "doc_id", "vec", "encoded_at")
+    got = {(r.id_a, r.id_b) for r in N.search_blocks(current.where("id < 100"), current, DIM, 5, 300).collect()}
+    assert all((min(a, b), max(a, b)) in got for a, b in np.argwhere(s >= best[:, 4:5]) if a < 100)
