@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.llm.packing import utf8_tokens
+from loomline.session import cut
 
 #: Targets are a table of parameters, collected and turned into literals; more rows than this are an error.
 MAX_TARGETS = 10_000
@@ -42,22 +44,28 @@ def source_key(source: Column) -> Column:
     return F.lower(F.regexp_replace(source, r"^[ \t\r\n]+|[ \t\r\n]+$", ""))
 
 
-def poisson_cdf(mean: float, top: int) -> list[float]:
-    """P(X <= k) for k = 0 .. top - 1."""
+#: Beyond so many standard deviations from its mean, and 40, a Poisson variable is not looked for.
+SPREAD = 9.0
+
+
+def poisson_window(mean: float, cap: int) -> tuple[int, list[float]]:
+    """(first, P(X <= k) for k = first, first + 1, ... below the cap): the part of the distribution in which it
+    changes. Below ``first`` it is 0, above the last 1, to double precision. Terms are taken in logarithms, so
+    any mean will do."""
     if math.isinf(mean):
-        return [0.0] * top
-    term = total = math.exp(-mean)
-    out = [total]
-    for k in range(1, top):
-        term *= mean / k
-        total += term
-        out.append(total)
-    return out[:top]
+        return cap, []
+    if mean <= 0:
+        return 0, [1.0] if cap > 0 else []
+    reach = SPREAD * math.sqrt(mean) + 40
+    first, last = min(cap, max(0, math.floor(mean - reach))), min(cap, math.ceil(mean + reach))
+    logs = (k * math.log(mean) - mean - math.lgamma(k + 1) for k in range(first, last))
+    return first, list(itertools.accumulate(math.exp(x) for x in logs))
 
 
 def capped_mean(mean: float, cap: int) -> float:
     """E[min(X, cap)] of a Poisson variable: the sum of P(X > k) below the cap."""
-    return sum(1.0 - p for p in poisson_cdf(mean, cap))
+    first, cdf = poisson_window(mean, cap)
+    return first + sum(1.0 - p for p in cdf)
 
 
 def poisson_rate(target: float, cap: int) -> float:
@@ -67,14 +75,24 @@ def poisson_rate(target: float, cap: int) -> float:
     if target >= cap:
         return math.inf
     low, high = 0.0, max(1.0, target)
-    while capped_mean(high, cap) < target and high < 700:
-        high *= 2
-    for _ in range(100):
+    while capped_mean(high, cap) < target:
+        low, high = high, high * 2
+    for _ in range(60):
         middle = (low + high) / 2
         low, high = (middle, high) if capped_mean(middle, cap) < target else (low, middle)
     return (low + high) / 2
 
 
+def drawn_count(window: Column, uniform: Column) -> Column:
+    """The inverse of a capped Poisson distribution at a uniform number. The window is a struct (first, cdf)."""
+    return window["first"] + F.size(F.filter(window["cdf"], lambda p: uniform >= p))
+
+
+def _window(mean: float, cap: int) -> Column:
+    first, cdf = poisson_window(mean, cap)
+    return F.struct(F.lit(first).alias("first"), F.array(*(F.lit(p) for p in cdf)).cast("array<double>").alias("cdf"))
+
+
 @dataclass(frozen=True)
 class Plan:
     """What the draw will do: budget in tokens, and for each source its texts' tokens and the Poisson mean."""
@@ -122,7 +140,7 @@ def calibrate(texts: DataFrame, plan: Plan, seed: int, rounds: int = 3, grid: in
     to the wanted tokens. The draw of a text grows with the mean, so each round brackets the wanted total
     between two of ``grid`` means, by one aggregation of all texts."""
     rates = dict(plan.rates)
-    bounds = {t.key: (rates[t.key] * 0.5, rates[t.key] * 1.5) for t in plan.targets if 0 < rates[t.key] < 700}
+    bounds = {t.key: (rates[t.key] * 0.5, rates[t.key] * 1.5) for t in plan.targets if 0 < rates[t.key] < math.inf}
     caps = {t.key: t.max_repeats for t in plan.targets}
     wanted = {t.key: plan.wanted(t) for t in plan.targets}
     use = texts.select("_h", "_h2", "_n", F.explode("_uses").alias("_u")).select("_h", "_h2", "_n", F.col("_u._s").alias("_s"))
@@ -130,9 +148,9 @@ def calibrate(texts: DataFrame, plan: Plan, seed: int, rounds: int = 3, grid: in
         if not bounds:
             break
         means = {k: [a + (b - a) * i / (grid - 1) for i in range(grid)] for k, (a, b) in bounds.items()}
-        cdfs = F.create_map(*(x for k, ms in means.items() for x in (F.lit(k), F.array(*(F.array(*(F.lit(p) for p in poisson_cdf(m, caps[k]))) for m in ms)))))
+        windows = F.create_map(*(x for k, ms in means.items() for x in (F.lit(k), F.array(*(_window(m, caps[k]) for m in ms)))))
         drawn = use.where(F.col("_s").isin(list(means))).withColumn("_v", _uniform(seed, F.col("_s")))
-        counts = F.transform(F.element_at(cdfs, F.col("_s")), lambda cdf: F.size(F.filter(cdf, lambda p: F.col("_v") >= p)))
+        counts = F.transform(F.element_at(windows, F.col("_s")), lambda w: drawn_count(w, F.col("_v")))
         sums = [F.sum(F.col("_c")[i] * F.col("_n")).alias(f"t{i}") for i in range(grid)]
         for r in drawn.select("_s", "_n", counts.alias("_c")).groupBy("_s").agg(*sums).collect():
             k, totals = r["_s"], [r[f"t{i}"] for i in range(grid)]
@@ -144,37 +162,33 @@ def calibrate(texts: DataFrame, plan: Plan, seed: int, rounds: int = 3, grid: in
 
 
 def _draw_counts(texts: DataFrame, plan: Plan, seed: int) -> DataFrame:
-    """(source key, id, tokens, repeats) of every text: the seeded hash of the text, as a uniform number, is put
-    through the inverse Poisson distribution of its source. A text that several sources have is drawn for each;
-    its uses in all stay within the largest of their limits, given out in order of the source names."""
-    top = {t.key: t.max_repeats for t in plan.targets}
-    cdf = F.create_map(*(x for t in plan.targets for x in (F.lit(t.key), F.array(*(F.lit(p) for p in poisson_cdf(plan.rates[t.key], t.max_repeats))).cast("array<double>"))))
-    limit = F.create_map(*(x for k, v in top.items() for x in (F.lit(k), F.lit(v))))
-
-    def drawn(u: Column) -> Column:
-        uniform = _uniform(seed, u["_s"])
-        return F.size(F.filter(F.element_at(cdf, u["_s"]), lambda p: uniform >= p))
-
+    """(source key, id, tokens, drawn, repeats) of every text: the seeded hash of the text, as a uniform number, is
+    put through the inverse Poisson distribution of its source, which gives ``drawn``. A text that several sources
+    have is drawn for each; its uses in all, ``repeats``, stay within the largest of their limits, given out in
+    order of the source names."""
+    windows = F.create_map(*(x for t in plan.targets for x in (F.lit(t.key), _window(plan.rates[t.key], t.max_repeats))))
+    limit = F.create_map(*(x for t in plan.targets for x in (F.lit(t.key), F.lit(t.max_repeats))))
+    drawn = F.transform("_uses", lambda u: drawn_count(F.element_at(windows, u["_s"]), _uniform(seed, u["_s"])))
     shared = F.array_max(F.transform("_uses", lambda u: F.element_at(limit, u["_s"])))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("counts"))
-
-    def give(acc: Column, u: Column) -> Column:
-        count = F.least(drawn(u), shared - acc["used"])
-        return F.struct((acc["used"] + count).alias("used"), F.concat(acc["counts"], F.array(count)).alias("counts"))
-
-    counts = F.aggregate("_uses", start, give, lambda acc: acc["counts"])
-    use = F.explode(F.arrays_zip(F.col("_uses").alias("u"), counts.alias("c")))
-    return texts.select("_h", "_n", use.alias("_x")).select(F.col("_x.u._s").alias("_s"), F.col("_x.u._id").alias("_id"), "_n", "_h", F.col("_x.c").alias("repeats"))
+    # What the sources before it in the list leave of the limit.
+    before = F.transform("_d", lambda d, i: F.aggregate(F.slice("_d", F.lit(1), i), F.lit(0), lambda a, x: a + x))
+    given = F.zip_with("_d", before, lambda d, b: F.greatest(F.lit(0), F.least(d, F.col("_limit") - b)))
+    with_counts = texts.select("_h", "_n", "_uses", drawn.alias("_d"), shared.alias("_limit"))
+    use = F.explode(F.arrays_zip(F.col("_uses").alias("u"), F.col("_d").alias("d"), given.alias("c")))
+    return with_counts.select("_n", use.alias("_x")).select(F.col("_x.u._s").alias("_s"), F.col("_x.u._id").alias("_id"), "_n", F.col("_x.d").alias("drawn"), F.col("_x.c").alias("repeats"))
 
 
 def draw_counts(docs: DataFrame, targets: DataFrame, *, item_id: str = "doc_id", text: str = "text", source: str = "source", budget_tokens: int | None = None, seed: int = 42) -> tuple[DataFrame, Plan]:
-    """(source key, id, tokens, repeats) of every distinct text of every source with a target, and the plan."""
+    """(source key, id, tokens, drawn, repeats) of every distinct text of every source with a target, and the plan.
+
+    The texts are read and hashed once: what is drawn from, some 60 bytes a text, is cut in the shared folder.
+    """
     wanted = read_targets(targets)
-    texts = _texts(docs, item_id, text, source, [t.key for t in wanted])
+    texts = cut(_texts(docs, item_id, text, source, [t.key for t in wanted]))
     plan = calibrate(texts, mix_plan(texts, wanted, budget_tokens), seed)
     if not wanted:
         kind = dict(docs.dtypes)[item_id]
-        return docs.sparkSession.createDataFrame([], f"_s string, _id {kind}, _n long, _h long, repeats int"), plan
+        return docs.sparkSession.createDataFrame([], f"_s string, _id {kind}, _n long, drawn int, repeats int"), plan
     return _draw_counts(texts, plan, seed), plan
 
 
@@ -207,20 +221,28 @@ def mix(docs: DataFrame, targets: DataFrame, *, item_id: str = "doc_id", seed: i
 
 
 def mix_report(docs: DataFrame, targets: DataFrame, **options: object) -> DataFrame:
-    """One row for each target: (source, weight, target_share, target_tokens, texts_tokens, capacity_tokens,
-    drawn_texts, drawn_tokens, actual_share, short), where short says that all allowed uses of the source's
-    texts hold fewer tokens than its share of the budget."""
+    """One row for each target, from the drawn counts: (source, weight, max_repeats, target_share, target_tokens,
+    texts, texts_tokens, capacity_tokens, drawn_texts, drawn_tokens, actual_share, short), where short says that the draw used every
+    text of the source ``max_repeats`` times and this holds fewer tokens than its share of the budget."""
     counts, plan = draw_counts(docs, targets, **options)
     total = sum(t.weight for t in plan.targets)
-    schema = "_s string, source string, weight double, max_repeats int, target_share double, target_tokens double, texts_tokens long, capacity_tokens long, short boolean"
-    rows = []
-    for t in plan.targets:
-        capacity = plan.unique_tokens[t.key] * t.max_repeats
-        # Compared without division: capacity / budget < weight / total.
-        rows.append((t.key, t.source, t.weight, t.max_repeats, t.weight / total if total else 0.0, plan.wanted(t), plan.unique_tokens[t.key], capacity, capacity * total < t.weight * plan.budget))
+    schema = "_s string, source string, weight double, max_repeats int, target_share double, target_tokens double"
+    rows = [(t.key, t.source, t.weight, t.max_repeats, t.weight / total if total else 0.0, plan.wanted(t)) for t in plan.targets]
     planned = docs.sparkSession.createDataFrame(rows, schema)
-    drawn = counts.groupBy("_s").agg(F.sum((F.col("repeats") > 0).cast("long")).alias("drawn_texts"), F.sum(F.col("repeats") * F.col("_n")).alias("drawn_tokens"))
-    joined = planned.join(drawn, "_s", "left").na.fill(0, ["drawn_texts", "drawn_tokens"])
-    everything = drawn.agg(F.sum("drawn_tokens").alias("_all"))
-    share = F.when(F.col("_all") > 0, F.col("drawn_tokens") / F.col("_all")).otherwise(0.0)
-    return joined.crossJoin(F.broadcast(everything)).withColumn("actual_share", share).drop("_s", "_all")  # one row
+    n = F.col("_n")
+    drawn = counts.groupBy("_s").agg(
+        F.count("*").alias("texts"),
+        F.sum("_n").alias("texts_tokens"),
+        F.sum((F.col("repeats") > 0).cast("long")).alias("drawn_texts"),
+        F.sum(F.col("repeats") * n).alias("drawn_tokens"),
+        F.sum(F.col("drawn") * n).alias("_full"),
+        F.min("drawn").alias("_least"),
+    )
+    joined = planned.join(drawn, "_s", "left").na.fill(0, ["texts", "texts_tokens", "drawn_texts", "drawn_tokens", "_full"])
+    everything = F.sum("drawn_tokens").over(Window.partitionBy(F.lit(0)))  # one row for each target
+    share = F.when(everything > 0, F.col("drawn_tokens") / everything).otherwise(0.0)
+    used_up = F.col("_least").isNull() | (F.col("_least") >= F.col("max_repeats"))
+    # Compared without division: tokens / budget < weight / total.
+    short = used_up & (F.col("_full") * F.lit(total) < F.col("weight") * F.lit(float(plan.budget)))
+    capacity = F.col("texts_tokens") * F.col("max_repeats")
+    return joined.withColumns({"capacity_tokens": capacity, "actual_share": share, "short": short}).drop("_s", "_full", "_least")

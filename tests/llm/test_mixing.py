@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from loomline.llm.mixing import capped_mean, mix, mix_report, poisson_rate
+from loomline.llm.mixing import capped_mean, mix, mix_report, poisson_rate, poisson_window
 
 
 def test_poisson_inversion():
@@ -15,6 +15,29 @@ def test_poisson_inversion():
     assert poisson_rate(0, 3) == 0.0 and poisson_rate(3, 3) == math.inf and poisson_rate(1, 0) == 0.0
 
 
+def test_large_means():
+    for target, cap in ((900, 2000), (5000, 5100), (3, 10**9), (699.5, 700)):
+        assert capped_mean(poisson_rate(target, cap), cap) == pytest.approx(target, rel=1e-9)
+    first, cdf = poisson_window(900.0, 2000)
+    assert first < 700 and len(cdf) < 700 and cdf[900 - first] == pytest.approx(0.5, abs=0.02) and cdf[-1] == pytest.approx(1.0)
+    assert poisson_window(math.inf, 3) == (3, []) and poisson_window(0.0, 3)[1] == [1.0] and poisson_window(0.0, 0) == (0, [])
+
+
+def test_draws_at_mean_900(spark):
+    docs = spark.createDataFrame([(i, f"text {i:04d}", "a") for i in range(300)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 1.0, 2000)], "source string, weight double, max_repeats int")
+    drawn = mix(docs, targets, budget_tokens=900 * 300 * 9).groupBy("doc_id").count().collect()
+    counts = [r["count"] for r in drawn]
+    assert len(counts) == 300 and sum(counts) / 300 == pytest.approx(900, rel=0.001)
+    assert 20 < (sum((c - 900) ** 2 for c in counts) / 300) ** 0.5 < 40
+
+
+def test_the_report_is_drawn(spark):
+    docs, targets = tables(spark, 60)
+    plan = mix_report(docs, targets)._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan and "filter" in plan.lower()
+
+
 def tables(spark, n=3000):
     rows = [(i, f"{'abc'[i % 3]} text {i} " + "x" * (i * 13 % 200), [" A", "b ", "C"][i % 3]) for i in range(n)]
     rows += [(n + 1, None, "a"), (n + 2, "", "b"), (n + 3, "lost", None), (n + 4, "lost", "other")]
