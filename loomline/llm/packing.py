@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
+#: Tasks of the packing, at most; with more groups than that a task packs several.
 MAX_TASKS = 20_000
 
 
@@ -60,22 +60,30 @@ def pack_vectors(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.
     return bins, positions
 
 
-def pieces(docs: DataFrame, item_id: str, text: str, capacity: int, tokens: Callable[[Column], Column] = utf8_tokens, prompt: Callable[[Column], Column] = prompt_tokens) -> DataFrame:
-    """(id, piece, pieces, token_start, token_end, loss_tokens): a text within the capacity is one piece, a
-    longer one is cut every ``capacity`` tokens."""
-    sized = docs.select(F.col(item_id).alias("_id"), tokens(F.col(text)).cast("long").alias("_n"), prompt(F.col(text)).cast("long").alias("_prompt")).where("_n IS NOT NULL")
-    number = F.greatest(F.lit(1), F.ceil(F.col("_n") / capacity)).cast("int")
-    end = F.least(F.col("_n"), (F.col("_i") + 1) * capacity)
+def pieces(docs: DataFrame, item_id: str, text: str, capacity: int, tokens: Callable[[Column], Column] = utf8_tokens, prompt: Callable[[Column], Column] = prompt_tokens, max_loss_tokens: int | None = None) -> DataFrame:
+    """(id, piece, pieces, token_start, token_end, loss_tokens): a text within both limits is one piece. A longer
+    one is cut so that each piece keeps them: every ``capacity`` tokens as long as these lie in its heading, which
+    bears no loss, then where the loss-bearing tokens reach their limit or the tokens the capacity."""
+    most_loss = min(capacity, max_loss_tokens if max_loss_tokens is not None else capacity)
+    n, head = F.col("_n"), F.col("_head")
+    known = docs.select(F.col(item_id).alias("_id"), tokens(F.col(text)).cast("long").alias("_n"), prompt(F.col(text)).cast("long").alias("_p")).where("_n IS NOT NULL")
+    # Whole pieces of the heading; the end of the piece in which loss begins; pieces of loss-bearing tokens alone.
+    sized = known.withColumn("_head", F.when(F.col("_p") < n, F.floor(F.col("_p") / capacity)).otherwise(F.greatest(F.lit(0).cast("long"), F.ceil(n / capacity) - 1)))
+    sized = sized.withColumn("_mixed", F.least(n, (head + 1) * capacity, F.greatest(F.col("_p"), head * capacity) + most_loss))
+    sized = sized.withColumn("_pieces", (head + 1 + F.ceil((n - F.col("_mixed")) / most_loss)).cast("int"))
+    i = F.col("_i")
+    start = F.when(i <= head, i * capacity).otherwise(F.col("_mixed") + (i - head - 1) * most_loss)
+    end = F.when(i < head, (i + 1) * capacity).when(i == head, F.col("_mixed")).otherwise(F.least(n, F.col("_mixed") + (i - head) * most_loss))
     return (
-        sized.withColumn("_pieces", number)
-        .withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_pieces") - 1)))
+        sized.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_pieces") - 1)))
+        .withColumns({"_start": start, "_end": end})
         .select(
             "_id",
-            F.col("_i").cast("int").alias("piece"),
+            i.cast("int").alias("piece"),
             F.col("_pieces").alias("pieces"),
-            (F.col("_i") * capacity).alias("token_start"),
-            end.alias("token_end"),
-            F.greatest(F.lit(0).cast("long"), end - F.greatest(F.col("_i") * capacity, F.col("_prompt"))).alias("loss_tokens"),
+            F.col("_start").alias("token_start"),
+            F.col("_end").alias("token_end"),
+            F.greatest(F.lit(0).cast("long"), F.col("_end") - F.greatest("_start", "_p")).alias("loss_tokens"),
         )
     )
 
@@ -95,7 +103,7 @@ def pack(
     """The container and position of every text or piece, by vector bin packing with the dot-product heuristic.
 
     A container holds at most ``capacity`` tokens, ``max_segments`` texts and ``max_loss_tokens`` loss-bearing
-    tokens (those after a text's heading). Only a text over the capacity is split. Pieces, without their texts,
+    tokens (those after a text's heading). Only a text that exceeds a limit by itself is split. Pieces, without their texts,
     are spread by hash over groups of about ``group_items`` and each group is packed by one task: groups have
     bounded size whatever the input, cost grows in proportion, and each group leaves at most about one container
     partly empty, under 0.1 % of its containers.
@@ -107,9 +115,9 @@ def pack(
     segment; texts repeated under other ids are items of their own, repeated ids too; an empty table gives an
     empty result. Extra columns are not read.
     """
-    if max_loss_tokens < capacity:
-        raise ValueError("a piece of full capacity must fit the limit on loss-bearing tokens")
-    items = pieces(docs, item_id, text, capacity, tokens, prompt)
+    if min(capacity, max_segments, max_loss_tokens) < 1:
+        raise ValueError("the limits must be positive")
+    items = pieces(docs, item_id, text, capacity, tokens, prompt, max_loss_tokens)
     groups = max(1, -(-items.count() // group_items))
     limits = np.array([capacity, max_loss_tokens, max_segments])
 

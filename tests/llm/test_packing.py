@@ -49,4 +49,27 @@ def test_operator(spark):
     assert container_report(pack(df)).collect()[0]["items"] == len(out)
     assert pack(df.where("false")).count() == 0
     with pytest.raises(ValueError):
-        pack(df, max_loss_tokens=10)
+        pack(df, max_loss_tokens=0)
+
+
+def test_all_three_limits_bind(spark):
+    rng = np.random.RandomState(3)
+    rows = [(i, "h" * int(rng.randint(0, 3000)) + "\n\n" + "b" * int(rng.choice([5, 400, 1500, 6000]))) for i in range(400)]
+    rows += [(1000 + i, "x") for i in range(300)] + [(2000, "h" * 9000 + "\n\n" + "b" * 3000), (2001, "h" * 9000 + "\n\n"), (2002, "\n\n" + "b" * 1024), (2003, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = pack(df, max_segments=5, max_loss_tokens=1024, group_items=300).collect()
+    per, of = {}, {}
+    for r in out:
+        per.setdefault(r.container, []).append(r)
+        of.setdefault(r.doc_id, []).append(r)
+    used = np.array([[sum(r.token_end - r.token_start for r in c), len(c), sum(r.loss_tokens for r in c)] for c in per.values()])
+    assert (used <= [4096, 5, 1024]).all() and (used.max(axis=0) == [4096, 5, 1024]).all()
+    for i, text in rows:
+        found = sorted(of[i], key=lambda r: r.piece)
+        head = text.find("\n\n") + 2 if "\n\n" in text else 0
+        assert [r.piece for r in found] == list(range(found[0].pieces))
+        assert found[0].token_start == 0 and found[-1].token_end == len(text)
+        assert all(a.token_end == b.token_start for a, b in zip(found, found[1:], strict=False))
+        assert all(r.loss_tokens == max(0, r.token_end - max(r.token_start, head)) for r in found)
+        assert len(found) == 1 or len(text) > 4096 or len(text) - head > 1024
+    assert len(of[2002]) == 1 and len(of[2001]) == 3
