@@ -20,7 +20,7 @@ class Limits:
     """Bytes: the largest and smallest piece, the largest overlap, and the mean distance of landmarks."""
 
     largest: int = 2048
-    smallest: int = 1024
+    smallest: int = 512
     overlap: int = 128
     landmark_every: int = 512
 
@@ -76,8 +76,8 @@ def cut_points(data: np.ndarray, lines: Lines, limits: Limits) -> list[int]:
 
     The first landmark beyond the smallest size calls for a cut, which snaps to the nearest natural boundary
     within the sizes: the start of the next stretch, any place between stretches, a line, a gap between words,
-    a character. If no boundary of a kind lies between the sizes, one nearer than the smallest size is taken,
-    the last of them, before a weaker kind is tried. A cut depends only on the one before it and on the bytes
+    a character; a weaker kind is tried only if no boundary of a stronger one lies between the sizes. No piece
+    but the last is smaller than the smallest size. A cut depends only on the one before it and on the bytes
     up to the largest size after it, so pieces fall in step again soon after an edit.
     """
     n = len(data)
@@ -96,20 +96,15 @@ def cut_points(data: np.ndarray, lines: Lines, limits: Limits) -> list[int]:
         i = np.searchsorted(marks, low)
         wish = int(marks[i]) if i < len(marks) and marks[i] <= high else high
         cut = None
-        for k, places in enumerate(kinds):
-            a, b, c = np.searchsorted(places, (at + 1, low, high + 1))
+        for places in kinds:
+            b, c = np.searchsorted(places, (low, high + 1))
             if b < c:
                 window = places[b:c]
                 cut = int(window[np.argmin(np.abs(window - wish))])
-            elif a < c and k < 3:
-                cut = int(places[c - 1])
-            if cut is not None:
                 break
         if cut is None:
-            cut = wish
-            while cut > at + 1 and (data[cut] & 0xC0) == 0x80 or data[cut] == 10 and data[cut - 1] == 13:
-                cut -= 1
-            cut = cut if cut > at else wish
+            whole = [p for p in range(max(low, wish - 4), min(high, wish + 4) + 1) if (data[p] & 0xC0) != 0x80 and not (data[p] == 10 and data[p - 1] == 13)]
+            cut = min(whole, key=lambda p: abs(p - wish), default=wish)
         out.append(cut)
         at = cut
     return [*out, n]

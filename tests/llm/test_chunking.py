@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from loomline.llm.chunking import Limits, Lines, boundary_kind, cut_spans, pieces_of
 
@@ -19,7 +21,7 @@ def check(raw: bytes, limits=L):
     found = pieces(raw, limits)
     assert found[0][0] == found[0][1] == 0 and found[-1][2] == len(raw)
     for i, (start, own, end) in enumerate(found):
-        assert end - start <= limits.largest and own - start <= limits.overlap and own < end
+        assert end - start <= limits.largest and own - start <= limits.overlap and (own < end or not raw)
         if i:
             assert own == found[i - 1][2] and start >= found[i - 1][0]
     return found
@@ -56,6 +58,23 @@ def test_edits_stay_local():
     assert sum(p not in before for p in after) <= 6 < len(after)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["x", "word ", "é", "한글 ", "👀", "\n", "\r\n", "\n \n", "\t"]), st.integers(1, 400)), max_size=40), st.sampled_from([(2048, 512, 128, 512), (2048, 1024, 128, 512), (300, 100, 40, 64), (64, 16, 0, 16)]))
+def test_sizes_and_overlap(parts, sizes):
+    limits = Limits(*sizes)
+    raw = "".join(p * n for p, n in parts).encode()
+    found = check(raw, limits)
+    for start, own, end in found[:-1]:
+        assert limits.smallest <= end - own
+        raw[own:end].decode()
+
+
+def test_a_small_paragraph_before_a_long_one():
+    raw = b"a" * 300 + b"\n\n" + b"word " * 900
+    found = check(raw, Limits(smallest=1024))
+    assert all(1024 <= end - own for _, own, end in found[:-1])
+
+
 def kind(raw: bytes):
     return boundary_kind(Lines.of(np.frombuffer(raw, np.uint8)), 2048)
 
