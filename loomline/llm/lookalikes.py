@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from loomline.session import cut
 
 #: Letters drawn like an ASCII letter though their capitals differ from its capital.
-SMALL_ONLY = {"һ": "h", "ԁ": "d", "ν": "v", "ѵ": "v", "ո": "n", "ս": "u", "ց": "g", "զ": "q", "ɡ": "g"}
+SMALL_ONLY = {"һ": "h", "ԁ": "d", "ν": "v", "ѵ": "v", "ո": "n", "ս": "u", "ց": "g", "զ": "q", "ԛ": "q", "ɡ": "g"}
 
 #: Scripts whose letters have look-alikes in one another, in the order in which an undecided token takes them.
 SCRIPTS = ("Latn", "Cyrl", "Grek", "Armn", "Copt", "Cher", "Lisu", "Kata", "Hira", "Hani")
@@ -27,7 +27,6 @@ NAMES = {"Latn": "Latin", "Cyrl": "Cyrillic", "Grek": "Greek", "Armn": "Armenian
 #: Writing systems that use several scripts at once (UTS 39, augmented script sets).
 SYSTEMS = {"Jpan": ("Hani", "Hira", "Kata"), "Kore": ("Hang", "Hani"), "Hanb": ("Hani", "Bopo")}
 
-#: Combining voice marks of kana.
 #: Combining voice marks of kana.
 VOICED = "\u3099\u309a"
 
@@ -312,6 +311,10 @@ def consistent_values(fields: list[Field]) -> DataFrame:
     return with_form(functools.reduce(DataFrame.unionByName, parts), "value")
 
 
+#: Parts in which the records of a spelling are looked up, and records of a part in which they are paired.
+SALTS, PART_ROWS = 16, 4096
+
+
 def _pair(h: Column) -> list[Column]:
     return [F.xxhash64(h), F.xxhash64(h, F.lit(1))]
 
@@ -321,19 +324,24 @@ def lookalike_pairs(values: DataFrame) -> DataFrame:
 
     Works on hashes of value and form. Forms with one spelling, which is nearly all, are dropped by one
     aggregation; then pairs of different spellings of a form are found, and only those are expanded to records.
-    The work is in proportion to the input and to the pairs that come out, however common a spelling is.
+    The work is in proportion to the input and to the pairs that come out. The records of a common spelling are
+    found in ``SALTS`` parts and joined in parts of about ``PART_ROWS``, so that no task holds them all.
     """
     v1, v2 = _pair(F.col("value"))
     f1, f2 = _pair(F.col("form"))
-    key = ["field", "f1", "f2"]
+    key, spelling = ["field", "f1", "f2"], ["field", "f1", "f2", "v1", "v2"]
     hashed = cut(values.select("field", "id", v1.alias("v1"), v2.alias("v2"), f1.alias("f1"), f2.alias("f2")).distinct())
-    spellings = hashed.groupBy(*key, "v1", "v2").agg(F.count("*").alias("n"))
-    several = spellings.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    members = hashed.join(several, key, "left_semi")
-    a = members.select(*key, "v1", "v2").distinct()
-    b = a.withColumnsRenamed({"v1": "w1", "v2": "w2"})
-    pairs = a.join(b, key).where("v1 < w1 OR (v1 = w1 AND v2 < w2)")
-    left = members.select("field", "v1", "v2", F.col("id").alias("id_l"))
-    right = members.select("field", F.col("v1").alias("w1"), F.col("v2").alias("w2"), F.col("id").alias("id_r"))
-    out = pairs.join(left, ["field", "v1", "v2"]).join(right, ["field", "w1", "w2"]).where("id_l <> id_r")
+    counted = hashed.groupBy(*spelling).agg(F.count("*").alias("n"))
+    several = counted.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    spellings = cut(counted.join(several, key).select(*spelling, F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts")))
+    salted = spellings.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = hashed.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, [*spelling, "_s"])
+    members = found.select("field", "v1", "v2", "id", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int").alias("part"))
+
+    other = spellings.withColumnsRenamed({"v1": "w1", "v2": "w2", "parts": "other_parts"})
+    pairs = spellings.join(other, key).where("v1 < w1 OR (v1 = w1 AND v2 < w2)")
+    each = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
+    right = members.select("field", F.col("v1").alias("w1"), F.col("v2").alias("w2"), F.col("id").alias("id_r"), F.col("part").alias("other"))
+    left = members.withColumnRenamed("id", "id_l")
+    out = each.join(left, ["field", "v1", "v2", "part"]).join(right, ["field", "w1", "w2", "other"]).where("id_l <> id_r")
     return out.select("field", F.least("id_l", "id_r").alias("id_a"), F.greatest("id_l", "id_r").alias("id_b")).distinct()

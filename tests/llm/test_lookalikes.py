@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from loomline.llm.lookalikes import Field, consistent_form, consistent_values, lookalike_pairs, tables
+from loomline.llm.lookalikes import PART_ROWS, Field, consistent_form, consistent_values, lookalike_pairs, tables
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +14,7 @@ def t(spark):
 
 SAME = [
     ("paypal", "pаypаl"), ("fix model", "ｆｉx ⅿodel"), ("été", "été"), ("バッチ", "ﾊﾞｯﾁ"), ("a b", "a b"), ("a b", "a　b"), ("ab", "a​b﻿­"),
-    ("Kelvin", "Kelvin"), ("проверка сор", "пpовepка cop"), ("token", "tοken"), ("리", "리"), ("III", "Ⅲ"), ("file", "ﬁle"), ("x\ny", "x\r\ny"), ("プロセス", "プ口セス"),
+    ("Kelvin", "Kelvin"), ("проверка сор", "пpовepка cop"), ("token", "tοken"), ("리", "리"), ("III", "Ⅲ"), ("file", "ﬁle"), ("x\ny", "x\r\ny"), ("プロセス", "プ口セス"), ("queue", "ԛueue"), ("index queue", "іndех ԛuеuе"),
 ]
 DIFFERENT = [
     ("a", "A"), ("e", "é"), ("é", "è"), ("a b", "a  b"), ("x2", "x²"), ("3", "③"), ("ß", "ss"), ("l", "I"), ("l", "1"), ("O", "0"), ("I", "1"), ("rn", "m"), ("i", "ı"), ("σ", "o"), ("г", "r"), ("п", "n"),
@@ -72,3 +72,11 @@ def test_pairs_against_brute_force(spark, t):
     form = {i: consistent_form(s, t)[0] for i, s in rows}
     text = dict(rows)
     assert found == {(a, b) for a in text for b in text if a < b and form[a] == form[b] and text[a] != text[b]}
+
+
+def test_a_spelling_of_a_third_of_all_rows(spark):
+    """The records of the hot spelling are joined in parts; all pairs come out, each once."""
+    n = 3 * PART_ROWS
+    rows = spark.range(n).selectExpr("id", f"CASE WHEN id < {n // 3 + 10} THEN 'token' WHEN id < {n // 3 + 12} THEN 'tоken' ELSE concat('other ', id) END AS text")
+    found = lookalike_pairs(consistent_values([Field(rows, "id", "text", "t")]))
+    assert found.count() == found.distinct().count() == 2 * (n // 3 + 10)
