@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import functools
+import itertools
+import math
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,33 +23,58 @@ ID = "id long"
 
 @dataclass(frozen=True)
 class Index:
-    """Parameters of the index. A vector is put into ``probes`` cells, or more, of each of ``tables`` hash tables.
-
-    cell_rows: rows of a cell, at most, on average. The number of cells follows from it and from the size of the
-    collection: few cells are the signed axes of the first coordinates of the rotated space, more than 2 * dim
-    cells are pairs of an axis and one of a second, coarser hash. recall: share of the pairs of the wanted cosine
-    that shall meet in a cell, by ``modelled_recall``; as cells become more and smaller parts of the collection,
-    probes grow until it is reached, and work for each vector with them (see ``grown``). cell_limit: rows compared at once; larger cells are compared in pairs of blocks, so that all
-    their rows meet. depth: as many further hashes split a larger cell first; that is less work, but vectors of
-    the cell that share no part of it are not compared, so there are none unless asked for.
+    """What the index shall reach. How it hashes is fitted to the collection (see ``fit``).
+
+    recall: share of a vector's true neighbours that shall share a cell with it. sure: that share among pairs of the
+    least cosine that a search wants, if it states one. share: share of all pairs of vectors that may share a cell,
+    unless no configuration that keeps it has the recall. sample: vectors from which the index is fitted, at most: the
+    recall of a configuration is that of their true neighbours among all vectors. cell_limit: rows of a group that
+    one task compares; larger groups are compared in pairs of blocks, in which all of their rows meet.
     """
 
     dim: int = 256
-    tables: int = 2
-    probes: int = 5
-    cell_rows: int = 8192
+    recall: float = 0.93
+    sure: float = 0.997
+    share: float = 0.1
+    sample: int = 256
     cell_limit: int = 16384
-    depth: int = 0
     seed: int = 1
-    recall: float = 0.995
 
 
-#: The cosine for which probes are chosen if a search states none; and the most probes of a table.
-WANTED_COSINE, MAX_PROBES = 0.5, 512
+@dataclass(frozen=True)
+class Hash:
+    """Cross-polytope hash tables, ``tables`` of them. In each, a pseudo-rotated vector probes its ``axes`` nearest
+    signed axes, and its cells are all sets of ``order`` of them: two vectors meet if they share so many axes."""
+
+    tables: int
+    axes: int
+    order: int
+
+    @property
+    def copies(self) -> int:
+        """Times a vector is shuffled: once for each axis that can be the first one of a cell."""
+        return self.tables * (self.axes - self.order + 1)
+
+
+#: Configurations to choose from.
+ORDERS, AXES, TABLES = (2, 3), (2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 20, 24), (1, 2, 3, 4, 5, 6, 8)
+
+#: Seconds, for choosing only: a copy of a vector on its way to a task; a comparison of one vector with another in a
+#: matrix product; a matrix product as such; a comparison of a listed pair.
+COPY_COST, COMPARE_COST, CELL_COST, PAIR_COST = 8e-6, 28e-9, 40e-6, 2e-7
+
+#: Cells of no more rows are compared as listed pairs, all at once.
+SMALL_CELL = 16
+
+#: Seconds of work of a task, about.
+TASK_SECONDS = 4.0
 
 #: The 6-bit cosine is off by 0.0025 (standard deviation, at 256 components); the margin is six times that.
 MARGIN = 0.015
 
+#: Fills up lists of axes.
+NO_AXIS = 65535
+
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of the rows, scaled to keep their length."""
@@ -69,68 +97,86 @@ def rotation(dim: int, seed: int) -> np.ndarray:
     return out
 
 
-def nearest_axes(x: np.ndarray, seed: int, axes: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(cells, scores): the ``probes`` signed axes nearest to each rotated vector, best first; only the first
-    ``axes`` / 2 coordinates are used, with both of their signs."""
-    y = (x @ rotation(x.shape[1], seed))[:, : max(1, axes // 2)]
-    signed = np.stack([y, -y], 2).reshape(len(y), -1)
-    probes = min(probes, signed.shape[1])
-    best = np.argpartition(-signed, probes - 1, axis=1)[:, :probes]
-    score = np.take_along_axis(signed, best, 1)
-    order = np.argsort(-score, axis=1, kind="stable")
-    return np.take_along_axis(best, order, 1), np.take_along_axis(score, order, 1)
-
-
-def cell_axes(index: Index, rows: int) -> tuple[int, int]:
-    """(axes, coarse axes) of each table for a collection of so many vectors, powers of two; 1 is no hash."""
-    cells, axes, coarse = rows * index.probes / index.cell_rows, 1, 1
-    while axes < cells and axes < 2 * index.dim:
-        axes *= 2
-    while axes * coarse < cells:
-        coarse *= 2
-    return axes, coarse
-
-
-def hash_cells(x: np.ndarray, index: Index, axes: int, coarse: int) -> np.ndarray:
-    """The cells of each unit vector in every table, as columns of 64-bit keys; a single cell if there are no axes."""
-    if axes == 1:
-        return np.zeros((len(x), 1), np.int64)
-    out = []
-    for t in range(index.tables):
-        seed = index.seed * 1000 + t * 10
-        first, score = nearest_axes(x, seed, axes, index.probes)
-        if coarse > 1:
-            second, more = nearest_axes(x, seed + 1, coarse, index.probes)
-            # The best pairs are those nearest to the best of both; (i + 1) * (j + 1) pairs are no worse than (i, j).
-            i, j = (v.ravel() for v in np.indices((first.shape[1], second.shape[1])))
-            some = (i + 1) * (j + 1) <= index.probes
-            i, j = i[some], j[some]
-            off = (score[:, :1] - score[:, i]) ** 2 + (more[:, :1] - more[:, j]) ** 2
-            keep = np.argsort(off, axis=1, kind="stable")[:, : index.probes]
-            first = first[np.arange(len(x))[:, None], i[keep]].astype(np.int64) * coarse + second[np.arange(len(x))[:, None], j[keep]]
-        out.append((np.int64(t) << 48) + first.astype(np.int64))
-    return np.concatenate(out, axis=1)
-
-
-def modelled_recall(index: Index, rows: int, cosine: float, pairs: int = 1000) -> float:
-    """Share of random pairs of unit vectors of this cosine that meet in a cell of a collection of so many vectors."""
-    axes, coarse = cell_axes(index, rows)
-    if axes == 1:
-        return 1.0
+def nearest_axes(x: np.ndarray, seed: int, axes: int) -> np.ndarray:
+    """The ``axes`` signed axes nearest to each rotated vector, in order of their numbers."""
+    y = x @ rotation(x.shape[1], seed)
+    signed = np.concatenate([y, -y], axis=1)
+    axes = min(axes, y.shape[1])
+    return np.sort(np.argpartition(-signed, axes - 1, axis=1)[:, :axes], axis=1)
+
+
+def table_seed(index: Index, table: int) -> int:
+    return index.seed * 1000 + table * 10
+
+
+def shared_axes(x: np.ndarray, y: np.ndarray, index: Index, tables: int, axes: tuple[int, ...]) -> dict[int, np.ndarray]:
+    """For each number of axes: (tables, rows) with how many nearest axes x[i] and y[i] share in each table."""
+    out = {a: np.zeros((tables, len(x)), int) for a in axes}
+    most = max(axes)
+    for t in range(tables):
+        r = rotation(index.dim, table_seed(index, t))
+        ranks = []
+        for z in (x @ r, y @ r):
+            signed = np.concatenate([z, -z], axis=1)
+            top = np.argpartition(-signed, min(most, signed.shape[1]) - 1, axis=1)[:, :most]
+            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(signed, top, 1), axis=1), 1)
+            rank = np.full(signed.shape, most, np.uint8)
+            np.put_along_axis(rank, top, np.arange(top.shape[1], dtype=np.uint8)[None, :], 1)
+            ranks.append(rank)
+        both = np.maximum(*ranks)  # both have the axis among their first so many
+        for a in axes:
+            out[a][t] = (both < a).sum(axis=1)
+    return out
+
+
+def synthetic_pairs(index: Index, cosine: float, pairs: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """Random pairs of unit vectors of one cosine."""
     rng = np.random.RandomState(index.seed)
     a, b = rng.randn(2, pairs, index.dim)
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     b -= (a * b).sum(axis=1, keepdims=True) * a
     b = cosine * a + np.sqrt(max(0.0, 1 - cosine**2)) * b / np.linalg.norm(b, axis=1, keepdims=True)
-    x, y = (hash_cells(v.astype(np.float32), index, axes, coarse) for v in (a, b))
-    return float(np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(x, y, strict=True)]))
+    return a.astype(np.float32), b.astype(np.float32)
 
 
-def grown(index: Index, rows: int, cosine: float) -> Index:
-    """The index with as many probes, its own number at least, as modelled recall at the cosine needs."""
-    while index.probes < MAX_PROBES and modelled_recall(index, rows, cosine) < index.recall:
-        index = replace(index, probes=min(MAX_PROBES, -(-index.probes * 7 // 5)))
-    return index
+def cells_met(shared: np.ndarray, axes: int, order: int) -> np.ndarray:
+    """How many cells pairs of vectors share, from the axes that they share."""
+    return np.array([math.comb(n, order) for n in range(axes + 1)])[shared]
+
+
+def seconds(h: Hash, rows: int, dim: int, meets: float) -> float:
+    """Estimated work for each vector; ``meets`` are the cells that two vectors share on average."""
+    space = math.comb(2 << (dim - 1).bit_length(), h.order)
+    in_cells = rows * math.comb(h.axes, h.order)  # of one table
+    if in_cells <= SMALL_CELL * space:
+        return h.copies * COPY_COST + rows * meets * PAIR_COST / 2
+    return h.copies * COPY_COST + rows * meets * COMPARE_COST + h.tables * min(space, in_cells / 2) * CELL_COST / rows
+
+
+def choose(index: Index, rows: int, near: tuple[np.ndarray, np.ndarray], any_: tuple[np.ndarray, np.ndarray], recall: float) -> Hash:
+    """Of the configurations in which at least ``recall`` of the near pairs share a cell, and at most ``index.share``
+    of any pairs, the one with the least work; if there is none, that of the least share that has the recall, or
+    else the one of the most recall.
+
+    As a collection grows comparisons outweigh copies, so cells become smaller parts of it.
+    """
+    close, random = (shared_axes(*pairs, index, max(TABLES), AXES) for pairs in (near, any_))
+    options = []
+    for axes in (a for a in AXES if a <= index.dim):
+        for order in (o for o in ORDERS if o <= axes):
+            met, others = (np.logical_or.accumulate(s[axes] >= order, axis=0) for s in (close, random))
+            cells = cells_met(random[axes], axes, order)
+            for tables in TABLES:
+                h = Hash(tables, axes, order)
+                reached = met[tables - 1].mean() if len(near[0]) else 1.0
+                share = others[tables - 1].mean() if len(any_[0]) else 0.0
+                meets = cells[:tables].sum(axis=0).mean() if len(any_[0]) else 0.0
+                if reached < recall:
+                    key = (2, -reached)
+                else:
+                    key = (1, share) if share > index.share else (0, seconds(h, max(rows, 2), index.dim, meets))
+                options.append((key, h.copies, h.order, h))
+    return min(options, key=lambda o: o[:3])[3]
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -214,121 +260,193 @@ def _from_small(codes: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def to_cells(current: DataFrame, index: Index, rows: int) -> DataFrame:
-    """(cell, id, small): every vector in each of its cells, with 6 bits a component."""
-    axes, coarse = cell_axes(index, rows)
-    dim, step = index.dim, max(64, 4096 * 5 // max(5, index.probes))
+#: Groups are numbered table * TABLE_STEP + first axis.
+TABLE_STEP = 1 << 24
+
+
+def _batches(batches: Iterator[pa.RecordBatch], dim: int, step: int = 4096) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(ids, unit vectors) of batches of (id, code), a bounded number at a time."""
+    for batch in batches:
+        for part in (batch.slice(i, step) for i in range(0, len(batch), step)):
+            yield part.column(0), unit(decode(part.column(1).to_pylist(), dim))
+
+
+def _groups(x: np.ndarray, index: Index, h: Hash) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(group of each vector, its axes after the first), for each place that the first axis of a cell can have."""
+    for t in range(h.tables):
+        near = nearest_axes(x, table_seed(index, t), h.axes)
+        for i in range(near.shape[1] - h.order + 1):
+            later = np.full((len(x), max(1, h.axes - 1)), NO_AXIS, np.uint16)
+            later[:, : near.shape[1] - i - 1] = near[:, i + 1 :]
+            yield np.int64(t) * TABLE_STEP + near[:, i], later
+
+
+def to_groups(current: DataFrame, index: Index, h: Hash) -> DataFrame:
+    """(cell, id, small, axes): every vector, with 6 bits a component, in the group of each axis that can be the
+    first one of a cell, with its later axes, from which the task forms the cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, step) for i in range(0, len(batch), step)):
-                x = unit(decode(part.column(1).to_pylist(), dim))
-                keys = hash_cells(x, index, axes, coarse)
-                small = _binary(_small(x))
-                again = pa.array(np.repeat(np.arange(len(x)), keys.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(again), small.take(again)], names=["cell", "id", "small"])
+        for ids, x in _batches(batches, index.dim):
+            small = _binary(_small(x))
+            for group, later in _groups(x, index, h):
+                yield pa.RecordBatch.from_arrays([pa.array(group), ids, small, _binary(later)], names=["cell", "id", "small", "axes"])
 
-    return current.select("id", "code").mapInArrow(run, "cell long, id long, small binary")
+    return current.select("id", "code").mapInArrow(run, "cell long, id long, small binary, axes binary")
 
 
-def _rehash(rows: DataFrame, index: Index, level: int) -> DataFrame:
-    """Rows of cells that are too large, each in its two best cells of a further hash."""
-    dim = index.dim
+def large_groups(current: DataFrame, index: Index, h: Hash) -> DataFrame:
+    """(cell, rows) of the groups beyond the limit."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = _from_small(list(batch["small"]))
-            sub, _ = nearest_axes(x, index.seed * 1000 + 500 + level, 2 * dim, 2)
-            out = batch.loc[batch.index.repeat(sub.shape[1])]
-            mixed = out["cell"].to_numpy() * np.int64(1_000_003) + (sub.ravel() + 1) * np.int64(0x9E3779B97F4A7C1)
-            yield out.assign(cell=mixed)
-
-    return rows.mapInPandas(run, "cell long, id long, small binary")
-
-
-def balanced(cells: DataFrame, index: Index) -> DataFrame:
-    """(cell, block_a, block_b, id, small, side): cells within the limit as they are; larger ones become pairs of
-    blocks, in which every two rows of the cell meet (after ``depth`` further hashes, if there are any)."""
-    parts = []
-    for level in range(index.depth + 1):
-        sizes = cut(cells.groupBy("cell").agg(F.count("*").alias("rows")).where(F.col("rows") > index.cell_limit))
-        if sizes.isEmpty():
-            parts.append(cells)
-            cells = None
-            break
-        parts.append(cells.join(sizes.select("cell"), "cell", "left_anti"))
-        hot = cells.join(sizes, "cell")
-        cells = _rehash(hot.drop("rows"), index, level) if level < index.depth else hot
-    none = F.lit(0)
-    out = [p.select("cell", none.alias("block_a"), none.alias("block_b"), "id", "small", none.alias("side")) for p in parts]
-    if cells is not None:
-        blocks = F.ceil(F.col("rows") * 2 / index.cell_limit).cast("int")
-        own = F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")
-        spread = cells.withColumn("_n", blocks).withColumn("_b", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-        side = F.when(F.col("_b") == F.col("_o"), 0).when(F.col("_b") < F.col("_o"), 1).otherwise(2)
-        out.append(spread.select("cell", F.least("_b", "_o").alias("block_a"), F.greatest("_b", "_o").alias("block_b"), "id", "small", side.alias("side")))
-    return functools.reduce(DataFrame.unionByName, out)
-
-
-def _best(score: np.ndarray, k: int, least: float, margin: float = MARGIN) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the entries of each row within the margin of its ``k``-th best, or better, that reach ``least``."""
-    k = min(k, score.shape[1])
-    from_ = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k] - margin
-    return np.nonzero(score >= np.maximum(from_, max(least, -1.5))[:, None])
-
-
-def _pairs_from(x: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, row) of the pairs of at least ``least`` that for one of them are within the margin of its ``k``-th
-    best, or better; each pair is computed once."""
-    rows, cols, scores = [], [], []
-    for i in range(0, len(x), 1024):
-        score = x[i : i + 1024] @ x[i:].T
-        a, b = np.nonzero(score >= least)
-        later = b > a
-        rows.append(a[later] + i)
-        cols.append(b[later] + i)
-        scores.append(score[a[later], b[later]])
-    a, b, c = (np.concatenate(v) for v in (rows, cols, scores))
-    if len(a) and (np.bincount(a, minlength=len(x)) + np.bincount(b, minlength=len(x))).max() > k:
-        ends, pair, c = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2), np.tile(c, 2)
-        order = np.lexsort((-c, ends))
-        ends, c = ends[order], c[order]
-        kth = np.minimum(np.searchsorted(ends, ends) + k, np.searchsorted(ends, ends, "right")) - 1
-        keep = np.unique(pair[order[c >= c[kth] - MARGIN]])
-        a, b = a[keep], b[keep]
-    return a, b
-
-
-def candidate_pairs(cells: DataFrame, index: Index, k: int, least: float) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: for each vector those of each of its cells whose 6-bit cosine is within the
-    margin of the ``k``-th best of the cell, or better."""
-    dim = index.dim
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for _, x in _batches(batches, index.dim):
+            for group, _ in _groups(x, index, h):
+                total.update(dict(zip(*np.unique(group, return_counts=True), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([int(n) for n in total.values()], pa.int64())], names=["cell", "n"])
+
+    counted = current.select("id", "code").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("rows"))
+    return counted.where(F.col("rows") > index.cell_limit)
+
+
+def balanced(groups: DataFrame, large: DataFrame, index: Index) -> DataFrame:
+    """(cell, block_a, block_b, id, small, axes, side): groups within the limit as they are; larger ones become
+    pairs of blocks, in which every two rows of the group meet. large: (cell, rows) of the larger ones; there are
+    no more groups than axes of the tables."""
+    known = groups.join(F.broadcast(large), "cell", "left")
+    blocks = F.coalesce(F.ceil(F.col("rows") * 2 / index.cell_limit), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")
+    spread = known.withColumn("_n", blocks).withColumn("_b", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    side = F.when(F.col("_b") == F.col("_o"), 0).when(F.col("_b") < F.col("_o"), 1).otherwise(2)
+    return spread.select("cell", F.least("_b", "_o").alias("block_a"), F.greatest("_b", "_o").alias("block_b"), "id", "small", "axes", side.alias("side"))
+
+
+def _cells(axes: np.ndarray, order: int) -> list[np.ndarray]:
+    """Row numbers of each cell of a group with at least two rows: the rows that share ``order`` - 1 later axes."""
+    if order == 1:
+        return [np.arange(len(axes))]
+    sets = np.array(list(itertools.combinations(range(axes.shape[1]), order - 1)))
+    row, which = np.nonzero(axes[:, sets[:, -1]] != NO_AXIS)
+    key = np.zeros(len(row), np.int64)
+    for c in range(order - 1):
+        key = key * 65536 + axes[row, sets[which, c]]
+    at = np.argsort(key, kind="stable")
+    row, key = row[at], key[at]
+    return [c for c in np.split(row, np.flatnonzero(key[1:] != key[:-1]) + 1) if len(c) > 1]
+
+
+Parts = list[tuple[np.ndarray, np.ndarray | None]]
+
+
+def _parts(axes: np.ndarray, side: np.ndarray, order: int) -> tuple[Parts, np.ndarray, np.ndarray]:
+    """What is compared in a group: (rows, None) for rows among themselves or (rows, rows) for those of two blocks;
+    and the pairs (row, row) of all small cells, each once. A group is compared whole if its cells overlap so much
+    that they would compare more."""
+    cells = _cells(axes, order)
+    none = np.zeros(0, np.int64)
+    small, large = [c for c in cells if len(c) <= SMALL_CELL], [c for c in cells if len(c) > SMALL_CELL]
+    if sum(len(c) ** 2 for c in large) >= len(axes) ** 2:
+        small, large = [], [np.arange(len(axes))]
+    sized = [np.array([c for c in small if len(c) == n]) for n in sorted({len(c) for c in small})]
+    a, b = (np.concatenate([none, *(c[:, np.triu_indices(c.shape[1], 1)[i]].ravel() for c in sized)]) for i in (0, 1))
+    once = np.unique(np.minimum(a, b) * np.int64(len(axes)) + np.maximum(a, b))
+    a, b = once // max(1, len(axes)), once % max(1, len(axes))
+    if not side.any():
+        return [(c, None) for c in large], a, b
+    two = [(c[side[c] == 1], c[side[c] == 2]) for c in large]
+    cross = side[a] != side[b]
+    return [(p, q) for p, q in two if len(p) and len(q)], a[cross], b[cross]
+
+
+def _within_margin(row: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Which entries are within the margin of the ``k``-th best of their row, or better."""
+    order = np.lexsort((-score, row))
+    r, c = row[order], score[order]
+    kth = np.minimum(np.searchsorted(r, r) + k, np.searchsorted(r, r, "right")) - 1
+    keep = np.zeros(len(row), bool)
+    keep[order] = c >= c[kth] - MARGIN
+    return keep
+
+
+def compare_rows(x: np.ndarray, parts: Parts, listed_a: np.ndarray, listed_b: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, other row, cosine), each pair from either side: for each row those that it meets in the parts and the
+    listed pairs and that are within the margin of its ``k``-th best of them, or better, and reach ``least``."""
+    rows, cols, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+
+    def add(p: np.ndarray, q: np.ndarray, score: np.ndarray, same: bool) -> None:
+        if least > -1:
+            a, b = np.nonzero(score >= least)
+        else:
+            n = min(k + same, score.shape[1])
+            a, b = np.nonzero(score >= np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n, None] - MARGIN)
+        keep = p[a] != q[b]
+        rows.append(p[a][keep])
+        cols.append(q[b][keep])
+        scores.append(score[a[keep], b[keep]])
+
+    for p, q in parts:
+        for i in range(0, len(p), 1024):
+            block = p[i : i + 1024]
+            other = p if q is None else q
+            score = x[block] @ x[other].T
+            add(block, other, score, q is None)
+            if q is not None:
+                add(other, block, np.ascontiguousarray(score.T), False)
+    for i in range(0, len(listed_a), 8192):
+        a, b = listed_a[i : i + 8192], listed_b[i : i + 8192]
+        score = np.einsum("ij,ij->i", x[a], x[b])
+        near = score >= least
+        rows += [a[near], b[near]]
+        cols += [b[near], a[near]]
+        scores += [score[near], score[near]]
+    row, col, score = (np.concatenate(v) for v in (rows, cols, scores))
+    _, first = np.unique(row * np.int64(len(x)) + col, return_index=True)
+    row, col, score = row[first], col[first], score[first]
+    keep = _within_margin(row, score, k)
+    return row[keep], col[keep], score[keep]
+
+
+GROUP = ["cell", "block_a", "block_b"]
+
+
+def tasks_for(groups: DataFrame, h: Hash, rows: int, work: float) -> int:
+    """Groups are few bytes but much work, so the tasks follow the work (seconds a vector) and not the bytes."""
+    least = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(int(rows * work / TASK_SECONDS) + 1, 50_000))
+
+
+def candidates(groups: DataFrame, h: Hash, tasks: int, k: int, least: float) -> DataFrame:
+    """(id, other, score): for each vector the others that share a cell with it and whose 6-bit cosine is within the
+    margin of its ``k``-th best among all that do, or better; each once."""
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        x, ids, side = _from_small(list(rows["small"])), rows["id"].to_numpy(), rows["side"].to_numpy()
-        found = [np.zeros((0, 2), np.int64)]
-        if not side.any() and least > -1:
-            a, b = _pairs_from(x, least, k)
-            found.append(np.column_stack([ids[a], ids[b]]))
-        else:
-            all_rows = np.arange(len(ids))
-            halves = [np.flatnonzero(side == 1), np.flatnonzero(side == 2)]
-            for p, q in [(all_rows, all_rows)] if not side.any() else [halves, halves[::-1]]:
-                for i in range(0, len(p) if len(q) else 0, 1024):
-                    part = p[i : i + 1024]
-                    score = x[part] @ x[q].T
-                    score[ids[part][:, None] == ids[q][None, :]] = -2
-                    a, b = _best(score, k, least)
-                    found.append(np.column_stack([ids[part[a]], ids[q[b]]]))
-        pairs = np.concatenate(found)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-        return pd.DataFrame({"id_a": pairs[:, 0], "id_b": pairs[:, 1]})
+        ids, side = rows["id"].to_numpy(), rows["side"].to_numpy()
+        axes = np.frombuffer(b"".join(rows["axes"]), np.uint16).reshape(len(rows), -1)
+        row, other, score = compare_rows(_from_small(list(rows["small"])), *_parts(axes, side, h.order), k, least)
+        return pd.DataFrame({"id": ids[row], "other": ids[other], "score": score})
+
+    found = groups.repartition(tasks, *GROUP).groupBy(*GROUP).applyInPandas(compare, "id long, other long, score float")
+    # One shuffle, by id, for both: repeated pairs, and the best of each vector over all of its groups.
+    once = found.repartition("id").groupBy("id", "other").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("id").orderBy(F.desc("score"), "other")
+    kth = F.nth_value("score", k).over(best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return once.withColumn("_kth", kth).where(F.col("_kth").isNull() | (F.col("score") >= F.col("_kth") - MARGIN)).drop("_kth")
+
+
+def comparisons(groups: DataFrame, h: Hash, tasks: int) -> DataFrame:
+    """(compared): how many pairs all groups compare, each as often as it is compared. One row."""
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        axes = np.frombuffer(b"".join(rows["axes"]), np.uint16).reshape(len(rows), -1)
+        parts, pairs, _ = _parts(axes, rows["side"].to_numpy(), h.order)
+        return pd.DataFrame({"compared": [len(pairs) + sum(len(p) * (len(p) - 1) // 2 if q is None else len(p) * len(q) for p, q in parts)]})
+
+    slim = groups.withColumn("small", F.lit(None).cast("binary"))
+    return slim.repartition(tasks, *GROUP).groupBy(*GROUP).applyInPandas(count, "compared long").agg(F.coalesce(F.sum("compared"), F.lit(0)).alias("compared"))
 
-    # Cells are few bytes but much work, so the tasks follow the cells and not the bytes.
-    tasks = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * index.dim * index.tables // 4)
-    keys = ["cell", "block_a", "block_b"]
-    return cells.repartition(tasks, *keys).groupBy(*keys).applyInPandas(compare, "id_a long, id_b long").distinct()
+
+def undirected(found: DataFrame) -> DataFrame:
+    """(id_a, id_b), id_a < id_b, each once."""
+    return found.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
 def rerank(pairs: DataFrame, current: DataFrame, dim: int, least: float | None) -> DataFrame:
@@ -397,7 +515,8 @@ def search_blocks(queries: DataFrame, current: DataFrame, dim: int, k: int, bloc
             if len(other):
                 score = x[part] @ x[other].T
                 score[ids[part][:, None] == ids[other][None, :]] = -2
-                a, b = _best(score, k, -1, 1e-6)
+                at = score.shape[1] - min(k, score.shape[1])
+                a, b = np.nonzero(score >= np.partition(score, at, axis=1)[:, at, None] - 1e-6)
                 found.append(np.column_stack([ids[part[a]], ids[other[b]]]))
         pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
         return pd.DataFrame({"id_a": pairs[:, 0], "id_b": pairs[:, 1]})
@@ -406,6 +525,64 @@ def search_blocks(queries: DataFrame, current: DataFrame, dim: int, k: int, bloc
     return tiles.repartition(max(1, n_q * n_d), "q", "d").groupBy("q", "d").applyInPandas(compare, "id_a long, id_b long").distinct()
 
 
+def sample_neighbours(current: DataFrame, index: Index, k: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(near, any): the unit vectors of a sample's vectors and of their true ``k`` nearest among all vectors, and
+    those of pairs of the sample. The sample, ``index.sample`` vectors of the lowest hash, goes to all tasks; a task
+    gives the best that it has for each, so what comes back is bounded too."""
+    rows = current.select("id", "code").orderBy(F.xxhash64("id"), "id").limit(index.sample).collect()
+    if len(rows) < 2:
+        none = np.zeros((0, index.dim), np.float32)
+        return (none, none), (none, none)
+    ids, x = np.array([r.id for r in rows]), unit(decode([bytes(r.code) for r in rows], index.dim))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, who = np.full((len(x), k), -2, np.float32), np.full((len(x), k), -1, np.int64)
+        for other, y in _batches(batches, index.dim):
+            named = other.to_numpy(zero_copy_only=False)
+            score = x @ y.T
+            score[ids[:, None] == named[None, :]] = -2
+            score, name = np.concatenate([best, score], axis=1), np.concatenate([who, np.broadcast_to(named, (len(x), len(named)))], axis=1)
+            at = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            best, who = np.take_along_axis(score, at, 1), np.take_along_axis(name, at, 1)
+        q, at = np.nonzero(best > -2)
+        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(who[q, at]), pa.array(best[q, at])], names=["q", "id", "score"])
+
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    best = current.select("id", "code").mapInArrow(run, "q int, id long, score float").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+    pairs = best.join(current.select("id", "code"), "id").select("q", "code").collect()  # sample x k rows
+    near = unit(decode([bytes(r.code) for r in pairs], index.dim)) if pairs else np.zeros((0, index.dim), np.float32)
+    a, b = np.triu_indices(len(x), 1)
+    some = np.random.RandomState(index.seed).permutation(len(a))[:2000]
+    return (x[[r.q for r in pairs]], near), (x[a[some]], x[b[some]])
+
+
+def fit(current: DataFrame, index: Index, k: int, rows: int, least_cosine: float | None = None) -> tuple[Hash, float]:
+    """The hash for a collection, and its estimated work in seconds for each vector.
+
+    Without a least cosine, recall is that of the true neighbours of a bounded sample. With one, it is that of
+    random pairs of just this cosine, the hardest that are wanted; nearer pairs meet more often.
+    """
+    near, any_ = sample_neighbours(current, index, k)
+    wanted = index.recall
+    if least_cosine is not None:
+        near, wanted = synthetic_pairs(index, least_cosine), index.sure
+    h = choose(index, rows, near, any_, wanted)
+    shared = shared_axes(*any_, index, h.tables, (h.axes,))[h.axes]
+    meets = float(cells_met(shared, h.axes, h.order).sum(axis=0).mean()) if len(any_[0]) else 0.0
+    return h, seconds(h, max(rows, 2), index.dim, meets)
+
+
+def search(current: DataFrame, index: Index, k: int, least_cosine: float | None = None) -> tuple[DataFrame, DataFrame, int, Hash, int]:
+    """The search over (id, code), persisted: its groups, what it found as (id, neighbour, cosine), the number of
+    vectors, the hash and the number of tasks."""
+    rows = current.count()
+    h, work = fit(current, index, k, rows, least_cosine)
+    groups = balanced(to_groups(current, index, h), cut(large_groups(current, index, h)), index)
+    tasks = tasks_for(groups, h, rows, work)
+    found = candidates(groups, h, tasks, k, -1.0 if least_cosine is None else least_cosine - MARGIN)
+    return groups, both_ways(rerank(undirected(found), current, index.dim, least_cosine)), rows, h, tasks
+
+
 def nearest(
     vectors: DataFrame,
     keep: DataFrame | None = None,
@@ -416,21 +593,17 @@ def nearest(
     vec: str = "vec",
     at: str = "encoded_at",
     least_cosine: float | None = None,
-    exact_below: float | None = None,
 ) -> DataFrame:
     """(id, rank, neighbour, cosine): for every vector the k most similar others, best first, ties by lower id.
 
-    Cross-polytope hashing: fast Hadamard pseudo-rotations assign unit vectors to the nearest signed axis, and
-    multiprobe tables, each vector in its nearest cells of each table, collect candidates. The number of probes
-    follows from the size of the collection, so that pairs of the wanted cosine (``least_cosine``, else
-    ``exact_below``, else 0.5) are modelled to meet at ``index.recall``; nearer pairs meet more often. Within a
-    cell candidates are compared with 6 bits a component; all within ``MARGIN`` of the k-th best are reranked exactly.
-    Copies travel as 6 bits a component, so a vector's full form is shuffled once.
+    Cross-polytope hashing: fast Hadamard pseudo-rotations assign unit vectors to the nearest signed axes, and
+    multiprobe tables collect candidates: a vector probes several axes of each table, and vectors meet that share
+    as many of them as a cell has. Tables, probes and axes of a cell are fitted to the collection (``fit``), so that
+    its recall stays while cells become smaller parts of a larger collection. A vector is shuffled once for each
+    axis that can be the first of a cell, with 6 bits a component; its other cells are formed within the task. All
+    candidates within ``MARGIN`` of a vector's k-th best are then reranked by the full vectors, exactly.
 
     least_cosine: neighbours below it are not wanted, and are dropped as early as they are known to be below.
-    exact_below: vectors that have fewer than k neighbours of at least this cosine, for which hashing finds too
-    few of the true ones, are searched again as a query set against all vectors in blocks; this is exact but
-    grows with the square of the number of such vectors.
 
     Defined cases: of an id the latest vector counts (null times are the earliest, ties go to the greater
     bytes); if it is null, of another length, all zero or not finite, or ``keep`` lacks the id, the id has no
@@ -441,26 +614,29 @@ def nearest(
     """
     # Read by several jobs; kept partitioned by id, in memory as far as it goes. A lost part is computed again.
     current = current_vectors(vectors, keep, index.dim, item_id, vec, at).persist(StorageLevel.MEMORY_AND_DISK)
+    return nearest_of(current, k, index, least_cosine).withColumnRenamed("id", item_id)
+
+
+def nearest_of(current: DataFrame, k: int, index: Index, least_cosine: float | None = None) -> DataFrame:
+    """(id, rank, neighbour, cosine) for persisted current vectors: see ``nearest``."""
+    distinct, classes = distinct_vectors(current)
+    return listed(search(distinct, index, k, least_cosine)[1], classes, k)
+
+
+def distinct_vectors(current: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The first of each group of copies, and the groups (see ``copies``) if there are any."""
     classes = cut(copies(current))
-    some = not classes.isEmpty()
-    distinct = current.join(classes.where("id <> first").select("id"), "id", "left_anti") if some else current
-    rows = current.select("id").count()
-    wanted = next((c for c in (least_cosine, exact_below) if c is not None), WANTED_COSINE)
-    index = grown(index, rows, wanted)
-    low = -1.0 if least_cosine is None else least_cosine - MARGIN
-    cells = balanced(to_cells(distinct, index, rows), index)
-    pairs = candidate_pairs(cells, index, k, low)
-    found = both_ways(rerank(pairs, current, index.dim, least_cosine))
-    if exact_below is not None:
-        found = cut(found)
-        sure = found.where(F.col("cosine") >= exact_below).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
-        isolated = cut(distinct.select("id").join(sure, "id", "left_anti"))
-        again = search_blocks(isolated, distinct, index.dim, k)
-        found = found.unionByName(both_ways(rerank(again, current, index.dim, least_cosine))).distinct()
-    found = top(found, k)
-    if some:
-        found = top(_with_copies(found.select("id", "neighbour", "cosine"), classes, k), k)
-    return found.select(F.col("id").alias(item_id), "rank", "neighbour", "cosine")
+    if classes.isEmpty():
+        return current, None
+    return current.join(classes.where("id <> first").select("id"), "id", "left_anti"), classes
+
+
+def listed(found: DataFrame, classes: DataFrame | None, k: int) -> DataFrame:
+    """(id, rank, neighbour, cosine): the ``k`` best of what was found, for copies too."""
+    best = top(found, k)
+    if classes is not None:
+        best = top(_with_copies(best.select("id", "neighbour", "cosine"), classes, k), k)
+    return best.select("id", "rank", "neighbour", "cosine")
 
 
 def similar_pairs(found: DataFrame, least_cosine: float, item_id: str = "doc_id") -> DataFrame:
