@@ -95,10 +95,16 @@ def visible(tree: DataFrame, collapsed: DataFrame, keys: list[str] | None = None
     return tree.join(hidden, [*keys, "path"], "left_anti")
 
 
+def tree_order(path: Column, kind: Column) -> Column:
+    """What the entries of a tree are sorted by to come in git's order: by bytes, a directory as its path with a
+    slash, so ``foo.rs`` and ``foo-x`` come before ``foo`` and what is below it."""
+    return F.when(kind == "directory", F.concat(path, F.lit("/"))).otherwise(path)
+
+
 def changed_neighbours(tree: DataFrame, changed: DataFrame, group: str = "repo") -> DataFrame:
-    """(group, path, next_changed, previous_changed): for each entry in tree order the nearest changed files."""
+    """(group, path, next_changed, previous_changed): for each entry in git's tree order the nearest changed files."""
     flagged = tree.join(changed.select(group, "path", F.lit(True).alias("_c")), [group, "path"], "left")
-    order = Window.partitionBy(group).orderBy(F.split("path", "/"))
+    order = Window.partitionBy(group).orderBy(tree_order(F.col("path"), F.col("kind")))
     mark = F.when(F.col("_c") & (F.col("kind") == "file"), F.col("path"))
     after = F.first(mark, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
     before = F.last(mark, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.highlight import highlight
@@ -20,7 +20,10 @@ from loomline.streaming.head import head_changes, read_observations
 FILTER, PREFIX, REPO = "index", "relo", "kelpforge"
 COLLAPSED = ["src/view", "docs", "crates/core"]
 
-#: A small diff, that of the oracles and a unit test: (file, pos, kind, content).
+#: A line that only closes a block.
+CLOSING = r"^[ \t]*\}[ \t\r]*$"
+
+#: A small diff, that of a unit test: (file, pos, kind, content).
 DIFF_ROWS = [
     ("a.rs", 0, "context", "fn main() {"), ("a.rs", 1, "removed", "  let x = 1;"), ("a.rs", 2, "removed", "  let y = 2;"), ("a.rs", 3, "added", "  let x = 3;"),
     ("a.rs", 4, "context", "}"), ("a.rs", 5, "added", "// end"), ("b.rs", 0, "added", "new"), ("b.rs", 1, "added", "file"), ("c.rs", 0, "removed", "old"),
@@ -85,6 +88,12 @@ def next_changed(spark, sf_dir):
     return H.changed_neighbours(head_tree(spark, sf_dir).select("repo", "path", "kind"), changed)
 
 
+def tree_order(spark, sf_dir):
+    """The place of each entry of each repo's head tree in git's order."""
+    tree = head_tree(spark, sf_dir).select("repo", "path", "kind")
+    return tree.withColumn("pos", F.row_number().over(Window.partitionBy("repo").orderBy(H.tree_order(F.col("path"), F.col("kind"))))).select("repo", "path", "pos")
+
+
 def nearest_ancestor(spark, sf_dir):
     """Where a view of a path deleted last lands in the head tree."""
     gone = _last_changes(spark, sf_dir).where("change = 'deleted'").select("repo", "path")
@@ -130,10 +139,11 @@ def diff_stats(spark, sf_dir):
 
 
 def line_diff_rows(spark, sf_dir):
-    """Diff of each source file against its content without the lines that only close a block."""
+    """Diff of each source file against its content without the lines that only close a block. The other lines are
+    all kept, so there is one shortest diff only."""
     files = table(spark, sf_dir, "source_files").where("content IS NOT NULL")
-    pairs = files.select("file_id", F.col("content").alias("old"), F.regexp_replace("content", r"(?m)^\s*\}\s*$\n?", "").alias("new"))
-    return line_diff(pairs, "file_id")
+    kept = F.filter(F.split("content", "\n"), lambda line: ~line.rlike(CLOSING))
+    return line_diff(files.select("file_id", F.col("content").alias("old"), F.array_join(kept, "\n").alias("new")), "file_id")
 
 
 def latency_percentiles(spark, sf_dir):
@@ -161,16 +171,31 @@ def head_change_stream(spark, sf_dir):
 QUERIES = {
     "commit_log": commit_log, "commit_page": commit_page, "commit_filter": commit_filter, "commit_prefix_search": commit_prefix_search,
     "first_parent_pairs": first_parent_pairs, "adjacent_commit_pairs": adjacent_commit_pairs, "commits_since": commits_since,
-    "tree_visible": tree_visible, "snapshot_changes": snapshot_changes, "next_changed": next_changed, "nearest_ancestor": nearest_ancestor,
+    "tree_visible": tree_visible, "snapshot_changes": snapshot_changes, "tree_order": tree_order, "next_changed": next_changed, "nearest_ancestor": nearest_ancestor,
     "dir_change_rollup": dir_change_rollup, "stale_docs": stale_docs, "incremental_docs": incremental_docs, "topological_depth": topological_depth, "highlight_spans": highlight_spans, "diff_align": diff_align, "diff_stats": diff_stats,
     "line_diff": line_diff_rows, "latency_percentiles": latency_percentiles, "debounce_last": debounce_last, "head_change_stream": head_change_stream,
 }
 
 _LAST = CHANGES_SQL + ", last_no AS (SELECT repo, max(snapshot_no) AS snapshot_no FROM tree_snapshots GROUP BY repo), last_changes AS (SELECT repo, path, change FROM changes JOIN last_no USING (repo, snapshot_no))"
 _LAST_HEAD = _LAST + ", " + HEAD_SQL
-_DIFF = "diff AS (SELECT * FROM (VALUES " + ", ".join(str(r) for r in DIFF_ROWS) + ") AS v(file, pos, kind, content))"
+_SMALL = "diff AS (SELECT * FROM (VALUES " + ", ".join(str(r) for r in DIFF_ROWS) + ") AS v(file, pos, kind, content))"
+_DIFF = rf"""split AS (SELECT file_id, string_split(CASE WHEN ends_with(content, chr(10)) THEN content[:-2] ELSE content END, chr(10)) AS l FROM source_files WHERE content <> ''),
+numbered AS (SELECT file_id, unnest(l) AS content, unnest(range(1, len(l) + 1)) AS old_no FROM split),
+marked AS (SELECT *, regexp_full_match(content, '[ \t]*\}}[ \t\r]*')::INT AS gone FROM numbered),
+near AS (SELECT *, old_no - sum(gone) OVER (PARTITION BY file_id ORDER BY old_no) AS new_no,
+         max(gone) OVER (PARTITION BY file_id ORDER BY old_no ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS shown FROM marked),
+diff AS (SELECT file_id AS file, (row_number() OVER (PARTITION BY file_id ORDER BY old_no) - 1)::INT AS pos, CASE WHEN gone = 1 THEN 'removed' ELSE 'context' END AS kind,
+         old_no::INT AS old_no, CASE WHEN gone = 0 THEN new_no::INT END AS new_no, content FROM near WHERE shown = 1)"""
+_ALIGN = """, b AS (SELECT *, sum(CASE WHEN kind = 'context' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY pos) * 2 - CASE WHEN kind = 'context' THEN 1 ELSE 0 END AS block FROM diff),
+        n AS (SELECT *, row_number() OVER (PARTITION BY file, block, kind ORDER BY pos) AS r FROM b)
+        SELECT file, max(content) FILTER (kind <> 'added') AS old, max(content) FILTER (kind <> 'removed') AS new,
+               max(pos) FILTER (kind <> 'added') AS old_pos, max(pos) FILTER (kind <> 'removed') AS new_pos FROM n GROUP BY file, block, r"""
+_STATS = " SELECT file, count(*) FILTER (kind = 'added') AS added, count(*) FILTER (kind = 'removed') AS removed FROM diff GROUP BY file"
+SMALL_ORACLES = {"diff_align": f"WITH {_SMALL}{_ALIGN}", "diff_stats": f"WITH {_SMALL}{_STATS}"}
 _UP = "list_transform(range(1, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))"
 
+_ORDER = "h.path || CASE WHEN h.kind = 'directory' THEN '/' ELSE '' END"
+
 ORACLES = {
     "commit_log": f"WITH {COMMITS_SQL} SELECT repo, topo_pos, oid, short_id, author, ts FROM commit_log",
     "commit_page": f"WITH {COMMITS_SQL} SELECT topo_pos, oid FROM commit_log WHERE repo = '{REPO}' AND topo_pos > 19 ORDER BY topo_pos LIMIT 200",
@@ -184,10 +209,11 @@ ORACLES = {
         SELECT repo, oid FROM news EXCEPT SELECT repo, oid FROM olds""",
     "tree_visible": f"WITH {HEAD_SQL} SELECT DISTINCT repo, path FROM head WHERE NOT (" + " OR ".join(f"starts_with(path, '{p}/')" for p in COLLAPSED) + ")",
     "snapshot_changes": _LAST + " SELECT repo, path, change FROM last_changes",
-    "next_changed": _LAST_HEAD + """, flagged AS (SELECT h.repo, h.path, string_split(h.path, '/') AS o, CASE WHEN l.path IS NOT NULL AND h.kind = 'file' THEN h.path END AS m
+    "next_changed": _LAST_HEAD + """, flagged AS (SELECT h.repo, h.path, """ + _ORDER + """ AS o, CASE WHEN l.path IS NOT NULL AND h.kind = 'file' THEN h.path END AS m
         FROM (SELECT DISTINCT repo, path, kind FROM head) h LEFT JOIN last_changes l ON h.repo = l.repo AND h.path = l.path AND l.change <> 'deleted')
         SELECT repo, path, first_value(m IGNORE NULLS) OVER (PARTITION BY repo ORDER BY o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_changed,
                last_value(m IGNORE NULLS) OVER (PARTITION BY repo ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_changed FROM flagged""",
+    "tree_order": f"WITH {HEAD_SQL} SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY {_ORDER}) AS pos FROM (SELECT DISTINCT repo, path, kind FROM head) h",
     "nearest_ancestor": _LAST_HEAD + """, gone AS (SELECT repo, path FROM last_changes WHERE change = 'deleted'),
         best AS (SELECT g.repo, g.path, max_by(h.path, length(h.path)) AS found FROM gone g JOIN head h ON h.repo = g.repo AND (h.path = g.path OR starts_with(g.path, h.path || '/')) GROUP BY ALL)
         SELECT g.repo, g.path, found FROM gone g LEFT JOIN best USING (repo, path)""",
@@ -198,11 +224,9 @@ ORACLES = {
         UNION ALL SELECT 'file', path, path FROM (SELECT DISTINCT path FROM last_changes WHERE change IN ('added', 'modified'))""",
     "topological_depth": f"""WITH RECURSIVE {COMMITS_SQL}, ways(oid, depth) AS (SELECT oid, 0 FROM commit_log
         UNION SELECT c.oid, w.depth + 1 FROM ways w JOIN (SELECT oid, unnest(parents) AS p FROM commit_log) c ON c.p = w.oid) SELECT oid, max(depth) AS depth FROM ways GROUP BY oid""",
-    "diff_align": f"""WITH {_DIFF}, b AS (SELECT *, sum(CASE WHEN kind = 'context' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY pos) * 2 - CASE WHEN kind = 'context' THEN 1 ELSE 0 END AS block FROM diff),
-        n AS (SELECT *, row_number() OVER (PARTITION BY file, block, kind ORDER BY pos) AS r FROM b)
-        SELECT file, max(content) FILTER (kind <> 'added') AS old, max(content) FILTER (kind <> 'removed') AS new,
-               max(pos) FILTER (kind <> 'added') AS old_pos, max(pos) FILTER (kind <> 'removed') AS new_pos FROM n GROUP BY file, block, r""",
-    "diff_stats": f"WITH {_DIFF} SELECT file, count(*) FILTER (kind = 'added') AS added, count(*) FILTER (kind = 'removed') AS removed FROM diff GROUP BY file",
+    "line_diff": f"WITH {_DIFF} SELECT file AS file_id, pos, kind, old_no, new_no, content FROM diff",
+    "diff_align": f"WITH {_DIFF}{_ALIGN}",
+    "diff_stats": f"WITH {_DIFF}{_STATS}",
     "latency_percentiles": "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, round(avg(value), 6) AS mean, round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 9) AS qps, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY event_type",
     "debounce_last": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events),
         b AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM g)

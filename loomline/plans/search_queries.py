@@ -29,6 +29,22 @@ BATCH = [
     S.Query(10, "색인"),
 ]
 
+#: One query for each form of the query language.
+GRAMMAR = [
+    S.Query(1, "title:parser AND (title:tree OR title:node)"),
+    S.Query(2, "title:cache -(title:stale title:merge)"),
+    S.Query(3, 'title:"open file"~2 title:"merge cache"'),
+    S.Query(4, "+title:[cache TO index} path:>=src/p"),
+    S.Query(5, "title: IN [viewport snapshot]"),
+    S.Query(6, "title:vec* path:{src/a TO src/c}"),
+    S.Query(7, "path_terms:(find walk)^2 AND NOT title:scroll"),
+    S.Query(8, "title:a AND (title:b OR (title:cache AND -title:index))"),
+    S.Query(9, "* -title:index"),
+    S.Query(10, "-(title:a title:b)"),
+    S.Query(11, "title:(cache"),
+    S.Query(12, 'title:"reload in"*'),
+]
+
 #: Judged queries: (qid, text, category, expected hits, forbidden rules).
 FIXTURES = [
     (1, "walk find", "exact_identifier", [("src/find/walk.rs", None, None)], []),
@@ -62,6 +78,29 @@ def bm25_path_title(spark, sf_dir):
     return S.bm25(spark, documents(spark, sf_dir, "title", "path", "path_terms"), BATCH, LIMIT, grammar.PATH_TITLE_WEIGHTS)
 
 
+def bm25_grammar(spark, sf_dir):
+    """All forms of the query language, over all documents."""
+    return S.bm25(spark, _docs(spark, sf_dir), GRAMMAR, LIMIT)
+
+
+def query_parse(spark, sf_dir):
+    """The clauses that those queries are read as: one row for each group of terms or pattern of a query."""
+    rows = []
+    for q in GRAMMAR:
+        parsed = grammar.parse(q.text)
+        if parsed is None:
+            rows.append((q.qid, None, None, "refused", None))
+            continue
+        occur = {n.number: n for n in parsed.nodes}
+
+        def way(number: int, occur=occur) -> str:
+            return "" if number < 0 else f"{way(occur[number].parent)}/{occur[number].occur}"
+
+        rows += [(q.qid, g.field, " ".join(g.terms), way(g.number), g.weight) for g in parsed.groups]
+        rows += [(q.qid, p.field, p.prefix or "|".join(p.values or ()) or f"{p.low or ''}..{p.high or ''}", way(p.number), p.weight) for p in parsed.patterns]
+    return spark.createDataFrame(rows, "qid int, field string, terms string, way string, weight double")
+
+
 def term_stats(spark, sf_dir):
     """Document frequency and number of each term of each field, and the fields' mean length."""
     rows = S.analysed(documents(spark, sf_dir, "title", "path_terms", "body"), ["path_terms", "title", "body"])
@@ -175,7 +214,7 @@ def fixture_violations(spark, sf_dir):
 
 
 QUERIES = {
-    "bm25_search": bm25_search, "bm25_path_title": bm25_path_title, "term_stats": term_stats, "vector_topk": vector_topk,
+    "bm25_search": bm25_search, "bm25_path_title": bm25_path_title, "bm25_grammar": bm25_grammar, "query_parse": query_parse, "term_stats": term_stats, "vector_topk": vector_topk,
     "rrf_fuse": rrf_fuse, "rrf_weighted": rrf_weighted, "rrf_anchor": rrf_anchor, "diagnose": diagnose, "hybrid_search": hybrid_search,
     "search_hydrate": search_hydrate, "result_navigation": result_navigation, "path_filtered_search": path_filtered_search, "path_filter_parse": path_filter_parse,
     "eval_per_query": eval_per_query, "eval_overall": eval_overall, "eval_by_category": eval_by_category,
@@ -201,25 +240,55 @@ _FIELD_SQL = {
 }
 
 
+def _pattern_sql(pattern: grammar.Pattern) -> str:
+    """The condition on a term ``t``."""
+    out = ["true"]
+    if pattern.low is not None:
+        out.append(f"t {'>=' if pattern.low_in else '>'} {_quote(pattern.low)}")
+    if pattern.high is not None:
+        out.append(f"t {'<=' if pattern.high_in else '<'} {_quote(pattern.high)}")
+    if pattern.prefix is not None:
+        out.append(f"starts_with(t, {_quote(pattern.prefix)})")
+    if pattern.values is not None:
+        out.append("t IN (" + ", ".join(map(_quote, pattern.values)) + ")")
+    return " AND ".join(out)
+
+
 def _bm25_sql(queries: list[S.Query], weights=None) -> str:
-    """CTEs up to ``words``(qid, rank, doc_id, score), all ranks."""
-    rows = S.term_rows(queries, weights)
-    fields = sorted({r[2] for r in rows})
-    analysed = " UNION ALL ".join(f"SELECT doc_id, '{f}' AS field, {_FIELD_SQL[f]} AS terms FROM docs" for f in fields)
-    return f"""{_values(rows, "q", "qid, number, field, term, need, weight, occur")},
+    """CTEs up to ``words``(qid, rank, doc_id, score), all ranks. A phrase is a pattern over the terms of the title."""
+    a = S.asked(queries, weights)
+    rows = []
+    for q in queries:
+        for i, g in enumerate((grammar.parse(q.text, weights) or grammar.Parsed()).groups):
+            gap = rf" (\S+ ){{0,{g.slop}}}" if g.slop else " "
+            rows += [(q.qid, i, g.number, g.field, t, len(g.terms), g.weight, f" {gap.join(g.phrase)} " if g.phrase else None) for t in g.terms]
+    analysed = " UNION ALL ".join(f"SELECT doc_id, '{f}' AS field, {_FIELD_SQL[f]} AS terms FROM docs" for f in sorted({*a.fields, "title"}))
+    leaves = ["SELECT qid, doc_id, number, s FROM grp"]
+    for qid, p in a.patterns:
+        where = "true" if p.field == "*" else f"field = '{p.field}' AND len(list_filter(terms, lambda t: {_pattern_sql(p)})) > 0"
+        leaves.append(f"SELECT DISTINCT {qid}, doc_id, {p.number}, {p.weight}::DOUBLE FROM analysed WHERE {where}" if p.field != "*" else f"SELECT {qid}, doc_id, {p.number}, {p.weight}::DOUBLE FROM docs")
+    deepest = max(n[4] for n in a.nodes)
+    levels = ""
+    for depth in range(deepest, 0, -1):
+        inner = f" UNION ALL SELECT * FROM level{depth + 1}" if depth < deepest else ""
+        levels += f""",
+level{depth} AS (SELECT m.qid, doc_id, n.parent AS number, sum(CASE WHEN n.occur <> 'not' THEN s ELSE 0 END) AS s
+      FROM (SELECT qid, doc_id, number, sum(s) AS s FROM (SELECT * FROM leaves WHERE (qid, number) IN (SELECT (qid, number) FROM node WHERE depth = {depth}){inner}) GROUP BY ALL) m
+      JOIN node n ON n.qid = m.qid AND n.number = m.number JOIN node p ON p.qid = m.qid AND p.number = n.parent GROUP BY m.qid, doc_id, n.parent
+      HAVING count(*) FILTER (n.occur = 'not') = 0 AND count(*) FILTER (n.occur <> 'not') > 0 AND count(*) FILTER (n.occur = 'must') = max(p.musts))"""
+    return f"""{_values(rows, "q", "qid, grp, number, field, term, need, weight, phrase")}, {_values(a.nodes, "node", "qid, number, parent, occur, depth, musts")},
 analysed AS (SELECT * FROM ({analysed}) WHERE terms IS NOT NULL),
+titles AS (SELECT doc_id, ' ' || array_to_string(terms, ' ') || ' ' AS title FROM analysed WHERE field = 'title'),
 stats AS (SELECT field, count(*) AS n, avg(len(terms)) AS avgdl FROM analysed GROUP BY field),
 posts AS (SELECT field, term, doc_id, count(*) AS tf, max(dl) AS dl FROM (SELECT field, doc_id, len(terms) AS dl, unnest(terms) AS term FROM analysed)
           WHERE (field, term) IN (SELECT (field, term) FROM q) GROUP BY ALL),
 dfs AS (SELECT field, term, count(*) AS df FROM posts GROUP BY ALL),
 scored AS (SELECT p.field, p.term, doc_id, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) AS s
            FROM posts p JOIN dfs USING (field, term) JOIN stats USING (field)),
-grp AS (SELECT qid, doc_id, number, s.field, sum(s * weight::DOUBLE) AS s, max(occur) AS occur FROM scored s JOIN q ON s.field = q.field AND s.term = q.term
-        GROUP BY qid, doc_id, number, s.field HAVING count(*) = max(need)),
-musts AS (SELECT qid, count(DISTINCT number) AS musts FROM q WHERE occur = 'must' GROUP BY qid),
-hits AS (SELECT qid, doc_id, round(sum(CASE WHEN occur <> 'not' THEN s ELSE 0 END), 9) AS score FROM grp LEFT JOIN musts USING (qid) GROUP BY qid, doc_id
-         HAVING count(*) FILTER (occur = 'not') = 0 AND count(*) FILTER (occur <> 'not') > 0
-            AND count(DISTINCT number) FILTER (occur = 'must') = coalesce(max(musts), 0)),
+grp AS (SELECT qid, doc_id, number, grp, sum(s * weight::DOUBLE) AS s FROM scored s JOIN q ON s.field = q.field AND s.term = q.term LEFT JOIN titles USING (doc_id)
+        GROUP BY qid, doc_id, number, grp HAVING count(*) = max(need) AND (max(phrase) IS NULL OR regexp_matches(max(titles.title), max(phrase)))),
+leaves AS ({" UNION ALL ".join(leaves)}){levels},
+hits AS (SELECT qid, doc_id, round(s, 9) AS score FROM level1),
 words AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM hits)"""
 
 
@@ -281,16 +350,33 @@ viol AS (SELECT r.qid, r.rank, r.path, CASE WHEN f.path IS NOT NULL THEN 'path='
          FROM res r JOIN rules f ON r.qid = f.qid WHERE r.path IS NOT NULL AND (r.path = f.path OR (f.path IS NULL AND starts_with(r.path, f.path_prefix))))"""
 
 
+#: How the queries of ``GRAMMAR`` are to be read, written by hand.
+READ = [
+    (1, "title", "parser", "/must", 2.0), (1, "title", "tree", "/must/should", 2.0), (1, "title", "node", "/must/should", 2.0),
+    (2, "title", "cache", "/should", 2.0), (2, "title", "stale", "/not/should", 2.0), (2, "title", "merge", "/not/should", 2.0),
+    (3, "title", "open file", "/should", 2.0), (3, "title", "merge cache", "/should", 2.0),
+    (4, "title", "cache..index", "/must", 2.0), (4, "path", "src/p..", "/should", 1.0),
+    (5, "title", "viewport|snapshot", "/should", 2.0),
+    (6, "title", "vec", "/should", 2.0), (6, "path", "src/a..src/c", "/should", 1.0),
+    (7, "path_terms", "find", "/must/should", 4.0), (7, "path_terms", "walk", "/must/should", 4.0), (7, "title", "scroll", "/not", 2.0),
+    (8, "title", "a", "/must", 2.0), (8, "title", "b", "/must/should", 2.0), (8, "title", "cache", "/must/should/must", 2.0), (8, "title", "index", "/must/should/not", 2.0),
+    (9, "*", "..", "/should", 1.0), (9, "title", "index", "/not", 2.0),
+    (10, None, None, "refused", None), (11, None, None, "refused", None),
+    (12, "title", "reload", "/should/should/must", 2.0), (12, "title", "in", "/should/should/must", 2.0),
+]
+
 _EVAL = _eval_sql()
 _AVG = ", ".join(f"round(coalesce(avg({m}), 0), 6) AS {m}" for m in E.METRICS)
 
 ORACLES = {
     "bm25_search": f"WITH {DOCS_SQL}, {_bm25_sql(BATCH)} SELECT * FROM words WHERE rank <= {LIMIT}",
-    "bm25_path_title": f"WITH {DOCS_SQL}, {_bm25_sql(BATCH[:3], grammar.PATH_TITLE_WEIGHTS)} SELECT * FROM words WHERE rank <= {LIMIT}",
-    "term_stats": f"""WITH {DOCS_SQL}, a AS (SELECT doc_id, 'title' AS field, {_FIELD_SQL["title"]} AS terms FROM docs UNION ALL SELECT doc_id, 'path_terms', {_FIELD_SQL["path_terms"]} FROM docs),
+    "bm25_path_title": f"WITH {DOCS_SQL}, {_bm25_sql(BATCH, grammar.PATH_TITLE_WEIGHTS)} SELECT * FROM words WHERE rank <= {LIMIT}",
+    "bm25_grammar": f"WITH {DOCS_SQL}, {_bm25_sql(GRAMMAR)} SELECT * FROM words WHERE rank <= {LIMIT}",
+    "query_parse": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_quote, r)) + ")" for r in READ) + ") AS v(qid, field, terms, way, weight)",
+    "term_stats": f"""WITH {DOCS_SQL}, a AS (SELECT doc_id, 'title' AS field, {_FIELD_SQL["title"]} AS terms FROM docs UNION ALL SELECT doc_id, 'path_terms', {_FIELD_SQL["path_terms"]} FROM docs UNION ALL SELECT doc_id, 'body', {_FIELD_SQL["body"]} FROM docs WHERE body IS NOT NULL),
         s AS (SELECT field, round(avg(len(terms)), 6) AS avgdl FROM a WHERE terms IS NOT NULL GROUP BY field),
         t AS (SELECT field, doc_id, unnest(terms) AS term FROM a) SELECT field, term, count(DISTINCT doc_id) AS df, count(*) AS n, avgdl FROM t JOIN s USING (field) GROUP BY ALL""",
-    "vector_topk": f"""WITH {VECTORS_SQL}, asked AS (SELECT doc_id AS qid, vec FROM vectors ORDER BY doc_id LIMIT 10),
+    "vector_topk": f"""WITH {VECTORS_SQL}, asked AS (SELECT doc_id::INT AS qid, vec FROM vectors WHERE doc_id % 20 = 0),
         s AS (SELECT qid, doc_id, round(list_dot_product(q.vec, v.vec) / sqrt(list_dot_product(q.vec, q.vec) * list_dot_product(v.vec, v.vec)), 9) AS score FROM asked q, vectors v)
         SELECT qid, rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= {LIMIT}""",
     "rrf_fuse": _LISTS + _rrf_sql(1.0) + f" SELECT * FROM rrf WHERE rank <= {LIMIT}",

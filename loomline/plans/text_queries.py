@@ -200,8 +200,6 @@ ORACLES = {
     "chunk_routing": f"WITH {_FILES} SELECT file_id, CASE WHEN strlen(content) >= 16384 AND coalesce({_LANG} IN ({_SYMBOLS}), false) THEN 'symbols' ELSE 'whole' END AS route FROM files",
     "commit_chunks": f"""WITH {COMMITS_SQL}, m AS (SELECT oid, ts, {_TITLE} AS title, {_BODY} AS body FROM commit_log WHERE message IS NOT NULL)
         SELECT oid AS commit_oid, title, body, epoch(ts)::BIGINT AS author_time, CASE WHEN body = '' THEN title ELSE title || chr(10) || body END AS embed_text FROM m""",
-    "chunk_to_meta": f"""WITH {COMMITS_SQL}, {_FILES} SELECT 'commit' AS kind, {_TITLE} AS title, oid AS commit_oid, NULL AS path, NULL::INT AS line_start, NULL::INT AS line_end FROM commit_log WHERE message IS NOT NULL
-        UNION ALL SELECT 'file', path, commit_oid, path, NULL, NULL FROM files WHERE strlen(content) < 16384""",
     "index_stats": f"WITH {DOCS_SQL} SELECT count(*) FILTER (kind = 'commit') AS commit, count(*) FILTER (kind = 'file') AS file, count(*) FILTER (kind = 'symbol') AS symbol, count(*) AS total FROM docs",
     "next_doc_id": "SELECT coalesce(max(doc_id), 0) + 1 AS next_id FROM search_docs",
     "doc_store": f"WITH {DOCS_SQL} SELECT doc_id, kind, title, commit_oid, path, line_start, line_end FROM docs WHERE kind IS NOT NULL AND title IS NOT NULL AND commit_oid IS NOT NULL",

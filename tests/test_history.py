@@ -52,6 +52,23 @@ def test_git_sources(spark, repo):
         git.open_repo("/")
 
 
+def test_tree_order_is_gits(spark, tmp_path):
+    path = str(tmp_path)
+    for name in ("foo/a", "foo/b/c", "foo.rs", "foo-x", "foo0", "a/z", "a.b", "é", "Z"):
+        target = tmp_path / name
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text(name)
+    for args in (["init", "-q"], ["add", "-A"], ["-c", "user.name=t", "-c", "user.email=t@t", "commit", "-q", "-m", "m"]):
+        subprocess.run(["git", "-C", path, *args], check=True, capture_output=True)
+    listed = subprocess.run(["git", "-C", path, "ls-tree", "-r", "-t", "-z", "--name-only", "HEAD"], check=True, capture_output=True).stdout.decode().split("\0")[:-1]
+    tree = git.read(spark, "git_tree", path)
+    assert [r.path for r in tree.orderBy(H.tree_order(F.col("path"), F.col("kind"))).collect()] == listed
+    assert [r.path for r in tree.orderBy("pos").collect()] == listed
+    changed = spark.createDataFrame([("r", "foo/a"), ("r", "a.b")], "repo string, path string")
+    found = {r.path: (r.previous_changed, r.next_changed) for r in H.changed_neighbours(tree.withColumn("repo", F.lit("r")), changed).collect()}
+    assert found["foo.rs"] == ("a.b", "foo/a") and found["foo0"] == ("foo/a", None) and found["Z"] == (None, "a.b")
+
+
 def test_ignore_patterns(spark):
     paths = spark.createDataFrame([(p,) for p in ("a.log", "src/b.log", "target/x", "src/target", "keep.log", "docs/a/b.md")], "path string")
     flag = git.ignore_expression(F.col("path"), ["# c", "*.log", "!keep.log", "target/", "docs/**/b.md"])
