@@ -51,4 +51,13 @@ def p4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "p4_found": """
+WITH latest AS (SELECT doc_id, vec::DOUBLE[] AS vec FROM (SELECT doc_id, vec, row_number() OVER (PARTITION BY doc_id ORDER BY encoded_at DESC) AS r FROM doc_vectors) WHERE r = 1),
+valid AS (SELECT * FROM latest WHERE len(vec) = 256 AND len(list_filter(vec, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0
+          AND doc_id IN (SELECT doc_id FROM search_docs)),
+unit AS (SELECT doc_id, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS u FROM valid),
+near AS (SELECT a.doc_id AS a, b.doc_id AS b, list_dot_product(a.u, b.u) AS c FROM unit a JOIN unit b ON a.doc_id <> b.doc_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM near WHERE c >= 0.9)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM best WHERE r <= 5""",
+}

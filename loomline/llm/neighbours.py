@@ -26,16 +26,17 @@ class Index:
     """What the index shall reach. How it hashes is fitted to the collection (see ``fit``).
 
     recall: share of a vector's true neighbours that shall share a cell with it. sure: that share among pairs of the
-    least cosine that a search wants, if it states one. share: share of all pairs of vectors that may share a cell,
-    unless no configuration that keeps it has the recall. sample: vectors from which the index is fitted, at most: the
+    least cosine that a search wants, if it states one. share, sure_share: share of all pairs of vectors that may share
+    a cell in either case, unless no configuration that keeps it has the recall. sample: vectors from which the index is fitted, at most: the
     recall of a configuration is that of their true neighbours among all vectors. cell_limit: rows of a group that
     one task compares; larger groups are compared in pairs of blocks, in which all of their rows meet.
     """
 
     dim: int = 256
     recall: float = 0.93
-    sure: float = 0.997
+    sure: float = 0.998
     share: float = 0.1
+    sure_share: float = 0.01
     sample: int = 256
     cell_limit: int = 16384
     seed: int = 1
@@ -61,7 +62,7 @@ ORDERS, AXES, TABLES = (2, 3), (2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 20, 24),
 
 #: Seconds, for choosing only: a copy of a vector on its way to a task; a comparison of one vector with another in a
 #: matrix product; a matrix product as such; a comparison of a listed pair.
-COPY_COST, COMPARE_COST, CELL_COST, PAIR_COST = 8e-6, 28e-9, 40e-6, 2e-7
+COPY_COST, COMPARE_COST, CELL_COST, PAIR_COST = 2e-5, 28e-9, 40e-6, 2e-7
 
 #: Cells of no more rows are compared as listed pairs, all at once.
 SMALL_CELL = 16
@@ -129,7 +130,7 @@ def shared_axes(x: np.ndarray, y: np.ndarray, index: Index, tables: int, axes: t
     return out
 
 
-def synthetic_pairs(index: Index, cosine: float, pairs: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+def synthetic_pairs(index: Index, cosine: float, pairs: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """Random pairs of unit vectors of one cosine."""
     rng = np.random.RandomState(index.seed)
     a, b = rng.randn(2, pairs, index.dim)
@@ -153,8 +154,8 @@ def seconds(h: Hash, rows: int, dim: int, meets: float) -> float:
     return h.copies * COPY_COST + rows * meets * COMPARE_COST + h.tables * min(space, in_cells / 2) * CELL_COST / rows
 
 
-def choose(index: Index, rows: int, near: tuple[np.ndarray, np.ndarray], any_: tuple[np.ndarray, np.ndarray], recall: float) -> Hash:
-    """Of the configurations in which at least ``recall`` of the near pairs share a cell, and at most ``index.share``
+def choose(index: Index, rows: int, near: tuple[np.ndarray, np.ndarray], any_: tuple[np.ndarray, np.ndarray], recall: float, most: float) -> Hash:
+    """Of the configurations in which at least ``recall`` of the near pairs share a cell, and at most the share ``most``
     of any pairs, the one with the least work; if there is none, that of the least share that has the recall, or
     else the one of the most recall.
 
@@ -174,7 +175,7 @@ def choose(index: Index, rows: int, near: tuple[np.ndarray, np.ndarray], any_: t
                 if reached < recall:
                     key = (2, -reached)
                 else:
-                    key = (1, share) if share > index.share else (0, seconds(h, max(rows, 2), index.dim, meets))
+                    key = (1, share) if share > most else (0, seconds(h, max(rows, 2), index.dim, meets))
                 options.append((key, h.copies, h.order, h))
     return min(options, key=lambda o: o[:3])[3]
 
@@ -563,10 +564,10 @@ def fit(current: DataFrame, index: Index, k: int, rows: int, least_cosine: float
     random pairs of just this cosine, the hardest that are wanted; nearer pairs meet more often.
     """
     near, any_ = sample_neighbours(current, index, k)
-    wanted = index.recall
+    wanted, most = index.recall, index.share
     if least_cosine is not None:
-        near, wanted = synthetic_pairs(index, least_cosine), index.sure
-    h = choose(index, rows, near, any_, wanted)
+        near, wanted, most = synthetic_pairs(index, least_cosine), index.sure, index.sure_share
+    h = choose(index, rows, near, any_, wanted, most)
     shared = shared_axes(*any_, index, h.tables, (h.axes,))[h.axes]
     meets = float(cells_met(shared, h.axes, h.order).sum(axis=0).mean()) if len(any_[0]) else 0.0
     return h, seconds(h, max(rows, 2), index.dim, meets)
