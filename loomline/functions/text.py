@@ -109,10 +109,10 @@ def words(s: Column) -> Column:
 
 
 def bigrams(s: Column) -> Column:
-    """All pairs of neighbouring characters, spaces and punctuation too, lower-cased, in linear time."""
+    """All pairs of neighbouring characters, spaces and punctuation too, lower-cased, in linear time; null of null."""
     chars = F.split(s, "")
     pairs = F.zip_with(F.slice(chars, 1, F.size(chars) - 1), F.slice(chars, 2, F.size(chars) - 1), lambda a, b: F.lower(F.concat(a, b)))
-    return F.when(F.length(s) >= 2, pairs).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(s) >= 2, pairs).when(s.isNotNull(), F.array().cast("array<string>"))
 
 
 def korean_aliases(path: Column) -> Column:

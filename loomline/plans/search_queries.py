@@ -235,7 +235,7 @@ _WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 _FIELD_SQL = {
     "title": _WORDS.format(_CAMEL.format("title")),
     "path_terms": _WORDS.format(_CAMEL.format(r"translate(path_terms, '/.-_\', '     ')")),
-    "body": "CASE WHEN length(body) >= 2 THEN list_transform(range(1, length(body)), lambda i: lower(substring(body, i, 2))) ELSE [] END",
+    "body": "CASE WHEN length(body) >= 2 THEN list_transform(range(1, length(body)), lambda i: lower(substring(body, i, 2))) WHEN body IS NOT NULL THEN [] END",
     "path": "CASE WHEN path IS NOT NULL THEN [path] END",
 }
 

@@ -48,6 +48,31 @@ def test_bm25_semantics(spark):
     assert S.bm25(spark, d.where("false"), [S.Query(1, "open")], 5).collect() == []
 
 
+def test_query_language(spark):
+    d = I.with_terms(docs(
+        spark, (1, "open the file", "a.rs", "x"), (2, "file open", "b.rs", "x"), (3, "open file cache", "c.rs", "x"), (4, "tree parser", "d.rs", "x"), (5, "node parser", "e.rs", "x"), (6, "parser", "f.rs", None), (7, "open open file", None, "x"),
+    ))
+    q = lambda text: set(order(S.bm25(spark, d, [S.Query(1, text)], 10)))
+    assert q('title:"open file"') == {3, 7} and q('title:"open file"~1') == {1, 3, 7} and q('title:"open open"') == {7} and q('title:"file cache"') == {3}
+    assert q("title:parser AND (title:tree OR title:node)") == {4, 5} and q("title:parser -(title:tree title:node)") == {6}
+    assert q("title:(parser AND NOT tree)") == {5, 6} and q("title:cache title:parser AND title:node") == {3, 5}
+    assert q("title:[node TO parser}") == {1, 2, 3, 5, 7} and q("title:>=tree") == {4} and q("title: IN [cache node]") == {3, 5}
+    assert q("title:pars*") == {4, 5, 6} and q('title:"open fi"*') == {1, 2, 3, 7} and q("*") == set(range(1, 8)) and q("* -title:open") == {4, 5, 6}
+    assert q("-title:open") == q("title:(open") == q("AND x") == q("nofield:x") == q('title:open "') == set()
+    twice = S.bm25(spark, d, [S.Query(1, "title:(open cache)^2"), S.Query(2, "title:open title:cache")], 10).collect()
+    score = {(r.qid, r.doc_id): r.score for r in twice}
+    assert all(s == pytest.approx(2 * score[2, i]) for (n, i), s in score.items() if n == 1)
+
+
+def test_many_terms_give_the_same(spark, monkeypatch):
+    """Terms joined to all terms instead of looked for in arrays."""
+    d = I.with_terms(docs(spark, *((i, f"open file {i % 7} cache open", f"src/m{i % 5}.rs", f"body {i % 11} text") for i in range(60))))
+    queries = [S.Query(1, '"open file" m3 -cache4'), S.Query(2, "text cache m1")]
+    few = {tuple(r) for r in S.bm25(spark, d, queries, 20).collect()}
+    monkeypatch.setattr(S, "ARRAY_TERMS", 0)
+    assert {tuple(r) for r in S.bm25(spark, d, queries, 20).collect()} == few and few
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [1.0, 1.0]), (4, [0.0, 0.0])], "doc_id long, vec array<float>")
     q = spark.createDataFrame([(7, [2.0, 0.0]), (8, [0.0, 0.0])], "qid int, vec array<double>")
@@ -111,6 +136,7 @@ def test_index_life_cycle(spark, tmp_path):
     index = I.Index.open(spark, folder)
     assert meta.head == "h2" and meta.documents == 3 and steps[-1] == "done"
     assert {r.doc_id for r in index.docs.collect()} == {3, 12, 14} == {r.doc_id for r in index.vectors.collect()}
+    assert len(meta.segments) == 2 and meta.kinds == {"file": 3}
     # An incremental build equals a full one over the live documents.
     rebuilt = str(tmp_path / "again")
     live = docs(spark, (3, "gamma", None, "three"), (12, "beta2", "b.rs", "two four"), (14, "delta", "d.rs", "one"))
@@ -120,6 +146,14 @@ def test_index_life_cycle(spark, tmp_path):
         columns = sorted(getattr(other, name).columns)
         a, b = (getattr(i, name).select(*columns) for i in (index, other))
         assert a.exceptAll(b).count() == 0 == b.exceptAll(a).count(), name
+    merged = I.compact(spark, folder)
+    index = I.Index.open(spark, folder)
+    assert len(merged.segments) == 1 and merged.kinds == meta.kinds
+    for name in ("docs", "postings", "stats", "lengths"):
+        columns = sorted(getattr(other, name).columns)
+        a, b = (getattr(i, name).select(*columns) for i in (index, other))
+        assert a.exceptAll(b).count() == 0 == b.exceptAll(a).count(), name
+    assert set(I.vacuum(spark, folder, 0)) == set(meta.segments) and I.vacuum(spark, folder, 0) == []
     assert order(index.bm25([S.Query(1, "two")])) == [12]
     assert index.nearest(spark.createDataFrame([(1, [1.0] * 256)], "qid int, vec array<double>"), 2).count() == 2
     fixtures = spark.createDataFrame([(1, "two", "typo", [("b.rs", None, None)], []), (2, "one", "negative", [], [("d.rs", None)])], E.FIXTURE_TYPE)
@@ -133,6 +167,8 @@ def test_index_errors(spark, tmp_path):
     d = docs(spark, (1, "a", "a", "a"))
     with pytest.raises(I.DuplicateId):
         I.build(spark, folder, "h", d.union(d), vectors(spark, [1]))
+    with pytest.raises(I.DuplicateId):
+        I.build(spark, folder, "h", d, vectors(spark, [1, 1]))
     with pytest.raises(I.DimensionMismatch):
         I.build(spark, folder, "h", d, spark.createDataFrame([(1, [1.0])], "doc_id long, vec array<float>"))
     assert I.status(spark, folder) == "missing"  # a failed build leaves no pointer
@@ -149,7 +185,7 @@ def test_index_errors(spark, tmp_path):
 
 
 def test_build_decision():
-    meta = I.Meta("old", "s")
+    meta = I.Meta("old", ["s"])
     yes, no = (lambda a, b: True), (lambda a, b: False)
 
     def fails(a, b):
@@ -158,7 +194,7 @@ def test_build_decision():
     assert I.decide(None, "new", False, yes) == "full" and I.decide(meta, "new", True, yes) == "full"
     assert I.decide(meta, "old", False, no) == "current" and I.decide(meta, "new", False, yes) == "incremental"
     assert I.decide(meta, "new", False, no) == "full" and I.decide(meta, "new", False, fails) == "full"
-    assert I.decide(I.Meta("old", "s", version=0), "new", False, yes) == "full"
+    assert I.decide(I.Meta("old", ["s"], version=0), "new", False, yes) == "full"
 
 
 def test_config_and_fixtures(spark, tmp_path):

@@ -137,7 +137,7 @@ def test_grammar():
     assert grammar.extract_path_filter('path:"x"') == ("x", "")
     assert grammar.extract_path_filter('a path:"x') == (None, 'a path:"x')
     p = grammar.parse("+must -never title:word^2 x AND y")
-    assert p.must_not == [1] and p.must == [0, 3, 4]
+    assert [(n.number, n.parent, n.occur) for n in p.nodes] == [(0, -1, "must"), (1, -1, "not"), (2, -1, "should"), (3, -1, "should"), (4, 3, "must"), (5, 3, "must")]
     assert [(g.field, g.weight) for g in p.groups if g.number == 2] == [("title", 4.0)]
     assert grammar.parse('bad "quote') is None and grammar.parse("(open") is None and grammar.parse("nofield:x") is None
     assert {g.field for g in grammar.parse("검색").groups} == {"title", "path_terms"}
