@@ -34,7 +34,7 @@ class Index:
 
     dim: int = 256
     recall: float = 0.93
-    sure: float = 0.998
+    sure: float = 0.997
     share: float = 0.1
     sure_share: float = 0.01
     sample: int = 256
@@ -58,7 +58,7 @@ class Hash:
 
 
 #: Configurations to choose from.
-ORDERS, AXES, TABLES = (2, 3), (2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 20, 24), (1, 2, 3, 4, 5, 6, 8)
+ORDERS, AXES, TABLES = (2, 3), (2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 16, 20, 24), (1, 2, 3, 4, 5, 6, 8)
 
 #: Seconds, for choosing only: a copy of a vector on its way to a task; a comparison of one vector with another in a
 #: matrix product; a matrix product as such; a comparison of a listed pair.
