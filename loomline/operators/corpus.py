@@ -61,6 +61,18 @@ def symbols(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return known.select(*wanted, F.col("_language").alias("language")).mapInPandas(run, schema)
 
 
+def whole_documents(files: DataFrame) -> DataFrame:
+    """One document a file."""
+    return files.select(
+        F.lit("file").alias("chunk_kind"),
+        "commit_oid",
+        "path",
+        F.col("path").alias("title"),
+        F.col("content").alias("body"),
+        F.concat("path", F.lit("\n"), T.truncate_bytes(F.col("content"), T.EMBED_BYTES)).alias("embed_text"),
+    )
+
+
 def file_chunks(files: DataFrame) -> DataFrame:
     """Documents of files: a small file is one, a large one is cut into its symbols if there are any of at least
     two lines, else it is one too. The large branch alone goes through Python."""
@@ -80,14 +92,7 @@ def file_chunks(files: DataFrame) -> DataFrame:
         F.concat("path", F.lit(" "), "name", F.lit("\n"), "text").alias("embed_text"),
     )
     uncut = usable.where(large).join(cut.select("file_id").distinct(), "file_id", "left_anti")
-    whole = usable.where(~large).unionByName(uncut).select(
-        F.lit("file").alias("chunk_kind"),
-        "commit_oid",
-        "path",
-        F.col("path").alias("title"),
-        F.col("content").alias("body"),
-        F.concat("path", F.lit("\n"), T.truncate_bytes(F.col("content"), T.EMBED_BYTES)).alias("embed_text"),
-    )
+    whole = whole_documents(usable.where(~large).unionByName(uncut))
     return parts.unionByName(whole, allowMissingColumns=True)
 
 

@@ -7,7 +7,7 @@ import time
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Categories with expected hits, in the order of reports.
@@ -72,6 +72,12 @@ def per_query(fixtures: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
+def hit_paths(fixtures: DataFrame, hits: DataFrame) -> DataFrame:
+    """(qid, position, path): the different relevant paths of each query in the order in which they first appear."""
+    first = relevant_hits(fixtures, hits).groupBy("qid", "path").agg(F.min("rank").alias("first"))
+    return first.select("qid", F.row_number().over(Window.partitionBy("qid").orderBy("first", "path")).alias("position"), "path")
+
+
 METRICS = ("mrr", "recall_5", "recall_10", "ndcg_10")
 
 

@@ -41,6 +41,16 @@ def first_parents(log: DataFrame) -> DataFrame:
     return child.join(known, F.col("parent") == F.col("_known"), "left").select("oid", F.col("_known").alias("parent"))
 
 
+def lookup(wanted: DataFrame, loaded: DataFrame, log: DataFrame) -> DataFrame:
+    """The wanted commits (oid) with their rows, from the loaded page where it has them, else from the log; ``found``
+    says where: ``loaded``, ``log``, or null for a commit that neither has. All share the log's columns."""
+    columns = [c for c in log.columns if c != "oid"]
+    rows = loaded.select("oid", *columns, F.lit(0).alias("_from")).unionByName(log.select("oid", *columns, F.lit(1).alias("_from")))
+    known = rows.join(wanted.select("oid").distinct(), "oid", "left_semi").groupBy("oid").agg(F.min_by(F.struct("_from", *columns), "_from").alias("_r"))
+    found = F.when(F.col("_r._from") == 0, "loaded").when(F.col("_r._from") == 1, "log")
+    return wanted.select("oid").join(known, "oid", "left").select("oid", *(F.col(f"_r.{c}").alias(c) for c in columns), found.alias("found"))
+
+
 def adjacent_pairs(log: DataFrame, group: str = "repo", position: str = "topo_pos") -> DataFrame:
     """(group, oid, older, newer): neighbours of each commit in the order of the log."""
     w = Window.partitionBy(group).orderBy(position)
@@ -159,7 +169,7 @@ def align_diff(lines: DataFrame, keys: list[str], position: str = "pos") -> Data
 def navigation(hits: DataFrame, docs: DataFrame, log: DataFrame) -> DataFrame:
     """(qid, rank, target, oid, parent, path, line): where selecting a hit leads. A commit opens its diff against
     its first parent, or its tree if it is a root; a file or symbol opens at its path and first line."""
-    meta = docs.select("doc_id", "kind", "commit_oid", "path", "line_start").join(F.broadcast(hits.select("qid", "rank", "doc_id")), "doc_id")
+    meta = docs.select("doc_id", "kind", "commit_oid", "path", "line_start").join(hits.select("qid", "rank", "doc_id"), "doc_id")
     parents = first_parents(log).select(F.col("oid").alias("commit_oid"), "parent")
     joined = meta.join(parents, "commit_oid", "left")
     commit = F.col("kind") == "commit"

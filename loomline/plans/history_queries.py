@@ -15,9 +15,11 @@ from loomline.operators.snapshots import file_changes
 from loomline.plans.base import COMMITS_SQL, DOCS_SQL, HEAD_SQL, commits, documents, head_tree
 from loomline.plans.snapshot_queries import CHANGES_SQL
 from loomline.session import table
+from loomline.sources.git import ignore_expression
 from loomline.streaming.head import head_changes, read_observations
 
 FILTER, PREFIX, REPO = "index", "relo", "kelpforge"
+IGNORED = ["*.md", "!README.md", "src/**/w*.rs", "/docs/", "?.toml"]
 COLLAPSED = ["src/view", "docs", "crates/core"]
 
 #: A line that only closes a block.
@@ -49,6 +51,19 @@ def commit_prefix_search(spark, sf_dir):
     return H.prefix_search(commits(spark, sf_dir, "message", "author", "short_id"), PREFIX).select("oid")
 
 
+def lookup_commits(spark, sf_dir):
+    """The commits that documents name, from the first page of the largest repo's log where that has them."""
+    log = commits(spark, sf_dir, "repo", "topo_pos", "author")
+    loaded = H.page(log.where(F.col("repo") == REPO), "topo_pos", None, 200)
+    return H.lookup(documents(spark, sf_dir, "commit_oid").select(F.col("commit_oid").alias("oid")).distinct(), loaded, log)
+
+
+def tree_ignored(spark, sf_dir):
+    """Entries of the head trees that ignore patterns leave out."""
+    tree = head_tree(spark, sf_dir).select("repo", "path")
+    return tree.where(ignore_expression(F.col("path"), IGNORED))
+
+
 def first_parent_pairs(spark, sf_dir):
     return H.first_parents(commits(spark, sf_dir, "parents"))
 
@@ -170,7 +185,7 @@ def head_change_stream(spark, sf_dir):
 
 QUERIES = {
     "commit_log": commit_log, "commit_page": commit_page, "commit_filter": commit_filter, "commit_prefix_search": commit_prefix_search,
-    "first_parent_pairs": first_parent_pairs, "adjacent_commit_pairs": adjacent_commit_pairs, "commits_since": commits_since,
+    "first_parent_pairs": first_parent_pairs, "lookup_commits": lookup_commits, "tree_ignored": tree_ignored, "adjacent_commit_pairs": adjacent_commit_pairs, "commits_since": commits_since,
     "tree_visible": tree_visible, "snapshot_changes": snapshot_changes, "tree_order": tree_order, "next_changed": next_changed, "nearest_ancestor": nearest_ancestor,
     "dir_change_rollup": dir_change_rollup, "stale_docs": stale_docs, "incremental_docs": incremental_docs, "topological_depth": topological_depth, "highlight_spans": highlight_spans, "diff_align": diff_align, "diff_stats": diff_stats,
     "line_diff": line_diff_rows, "latency_percentiles": latency_percentiles, "debounce_last": debounce_last, "head_change_stream": head_change_stream,
@@ -202,6 +217,12 @@ ORACLES = {
     "commit_filter": f"WITH {COMMITS_SQL} SELECT oid FROM commit_log WHERE coalesce(contains(lower(message), '{FILTER}'), false) OR coalesce(contains(lower(author), '{FILTER}'), false) OR starts_with(short_id, '{FILTER}')",
     "commit_prefix_search": rf"WITH {COMMITS_SQL} SELECT oid FROM commit_log WHERE len(list_filter(string_split_regex(lower(concat_ws(' ', message, author, short_id)), '\s+'), lambda w: starts_with(w, '{PREFIX}'))) > 0",
     "first_parent_pairs": f"WITH {COMMITS_SQL} SELECT c.oid, p.oid AS parent FROM commit_log c LEFT JOIN commit_log p ON c.parents[1] = p.oid",
+    "lookup_commits": f"""WITH {COMMITS_SQL}, {DOCS_SQL}, loaded AS (SELECT oid FROM commit_log WHERE repo = '{REPO}' ORDER BY topo_pos LIMIT 200), w AS (SELECT DISTINCT commit_oid AS oid FROM docs)
+        SELECT w.oid, repo, topo_pos, author, CASE WHEN c.oid IS NULL THEN NULL WHEN w.oid IN (SELECT oid FROM loaded) THEN 'loaded' ELSE 'log' END AS found FROM w LEFT JOIN commit_log c ON c.oid = w.oid""",
+    "tree_ignored": rf"""WITH {HEAD_SQL} SELECT DISTINCT repo, path FROM head WHERE regexp_matches(path, '(^|/)[^/]\.toml(/|$)') OR starts_with(path, 'docs/') OR regexp_matches(path, '^src/(.*/)?w[^/]*\.rs(/|$)')
+        OR (regexp_matches(path, '\.md(/|$)') AND NOT regexp_matches(path, '(^|/)README\.md(/|$)'))""",
+    "head_change_stream": """WITH seen AS (SELECT repo, loaded_at AS seen_at, oid, 'main' AS ref, lag(oid) OVER (PARTITION BY repo ORDER BY loaded_at, oid) AS old_oid FROM commits WHERE repo IS NOT NULL AND oid IS NOT NULL)
+        SELECT repo, seen_at, old_oid, oid AS new_oid, ref FROM seen WHERE old_oid IS DISTINCT FROM oid""",
     "adjacent_commit_pairs": f"WITH {COMMITS_SQL} SELECT repo, oid, lead(oid) OVER w AS older, lag(oid) OVER w AS newer FROM commit_log WINDOW w AS (PARTITION BY repo ORDER BY topo_pos)",
     "commits_since": f"""WITH RECURSIVE {COMMITS_SQL}, ends AS (SELECT repo, max(topo_pos) // 2 AS m FROM commit_log GROUP BY repo),
         news(repo, oid) AS (SELECT repo, oid FROM commit_log WHERE topo_pos = 0 UNION SELECT n.repo, p.oid FROM news n JOIN commit_log c ON c.oid = n.oid, unnest(c.parents) AS u(x) JOIN commit_log p ON p.oid = x),

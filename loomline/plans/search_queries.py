@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.functions import text as T
 from loomline.operators import evaluate as E
 from loomline.operators import grammar
 from loomline.operators import history as H
@@ -144,8 +145,16 @@ def rrf_anchor(spark, sf_dir):
 
 
 def diagnose(spark, sf_dir):
-    words, near = _lists(spark, sf_dir)
-    return S.diagnose(words, near, S.rrf([(words, 1.0), (near, 1.0)], LIMIT))
+    docs = _docs(spark, sf_dir)
+    near = _vectors(spark, sf_dir, docs)
+    words = S.bm25(spark, docs, BATCH, LIMIT)
+    return S.diagnose(spark, words, S.vector_topk(near, S.encode_queries(docs, near, BATCH, whole=True), LIMIT), BATCH, LIMIT)
+
+
+def query_tokens(spark, sf_dir):
+    """The tokens that a query gives in the body, as a diagnosis lists them."""
+    texts = spark.createDataFrame([(q.qid, q.text) for q in BATCH], "qid int, text string")
+    return texts.select("qid", F.posexplode(T.bigrams(F.col("text"))).alias("pos", "token"))
 
 
 def _hybrid(spark, sf_dir, queries: list[S.Query]) -> tuple[DataFrame, DataFrame]:
@@ -192,6 +201,10 @@ def eval_per_query(spark, sf_dir):
     return E.per_query(_fixtures(spark), _judged(spark, sf_dir))
 
 
+def eval_hit_paths(spark, sf_dir):
+    return E.hit_paths(_fixtures(spark), _judged(spark, sf_dir))
+
+
 def eval_overall(spark, sf_dir):
     return E.overall(eval_per_query(spark, sf_dir))
 
@@ -217,7 +230,7 @@ QUERIES = {
     "bm25_search": bm25_search, "bm25_path_title": bm25_path_title, "bm25_grammar": bm25_grammar, "query_parse": query_parse, "term_stats": term_stats, "vector_topk": vector_topk,
     "rrf_fuse": rrf_fuse, "rrf_weighted": rrf_weighted, "rrf_anchor": rrf_anchor, "diagnose": diagnose, "hybrid_search": hybrid_search,
     "search_hydrate": search_hydrate, "result_navigation": result_navigation, "path_filtered_search": path_filtered_search, "path_filter_parse": path_filter_parse,
-    "eval_per_query": eval_per_query, "eval_overall": eval_overall, "eval_by_category": eval_by_category,
+    "eval_per_query": eval_per_query, "eval_hit_paths": eval_hit_paths, "query_tokens": query_tokens, "eval_overall": eval_overall, "eval_by_category": eval_by_category,
     "negative_violations": negative_violations, "eval_negatives": eval_negatives, "fixture_violations": fixture_violations,
 }
 
@@ -292,9 +305,9 @@ hits AS (SELECT qid, doc_id, round(s, 9) AS score FROM level1),
 words AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM hits)"""
 
 
-def _near_sql(queries: list[S.Query]) -> str:
+def _near_sql(queries: list[S.Query], whole: bool = False) -> str:
     """CTEs up to ``near``(qid, rank, doc_id, score), all ranks, for the words of the queries."""
-    words = sorted({(q.qid, w) for q in queries for w in grammar.word_terms(q.embed_text)})
+    words = sorted({(q.qid, w) for q in queries for w in grammar.word_terms(q.text if whole else q.embed_text)})
     return f"""{_values(words, "asked", "qid, word")},
 live AS (SELECT * FROM vectors WHERE doc_id IN (SELECT doc_id FROM docs)),
 has AS (SELECT doc_id, unnest(list_distinct({_FIELD_SQL["title"]})) AS word FROM docs),
@@ -384,7 +397,14 @@ ORACLES = {
     "rrf_anchor": _LISTS + _rrf_sql(1.5) + f""", p AS (SELECT qid, doc_id, 0 AS part, rank AS place, score FROM a WHERE rank <= 3 UNION ALL SELECT qid, doc_id, 1, rank, score FROM rrf WHERE rank <= {LIMIT} + 3),
         o AS (SELECT qid, doc_id, min((part, place, score)) AS b FROM p GROUP BY ALL)
         SELECT qid, rank, doc_id, score FROM (SELECT qid, doc_id, b[3] AS score, row_number() OVER (PARTITION BY qid ORDER BY b) AS rank FROM o) WHERE rank <= {LIMIT}""",
-    "diagnose": _LISTS + _rrf_sql(1.0) + f" SELECT r.qid, r.rank, r.doc_id, a.rank AS bm25_rank, b.rank AS vector_rank FROM rrf r LEFT JOIN a ON a.qid = r.qid AND a.doc_id = r.doc_id LEFT JOIN b ON b.qid = r.qid AND b.doc_id = r.doc_id WHERE r.rank <= {LIMIT}",
+    "diagnose": f"""{_BASE}{_bm25_sql(BATCH)}, {_near_sql(BATCH, whole=True)}, {_values([(q.qid, grammar.has_hangul(q.text)) for q in BATCH], "facts", "qid, korean")},
+        u AS (SELECT w.qid, doc_id, 1.0::DOUBLE / (60 + rank) AS s, CASE WHEN korean AND rank <= 3 THEN rank END AS pin, score, rank AS a, NULL AS b FROM words w JOIN facts USING (qid) WHERE rank <= {LIMIT}
+              UNION ALL SELECT n.qid, doc_id, CASE WHEN korean THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END / (60 + rank), NULL, NULL, NULL, rank FROM near n JOIN facts USING (qid) WHERE rank <= {LIMIT}),
+        f AS (SELECT qid, doc_id, round(sum(s), 9) AS s, max(pin) AS pin, max(score) AS score, max(a) AS a, max(b) AS b FROM u GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pin IS NULL, pin, s DESC, doc_id) AS rank FROM f)
+        SELECT qid, rank, doc_id, CASE WHEN pin IS NOT NULL THEN score ELSE s END AS score, a AS bm25_rank, b AS vector_rank FROM r WHERE rank <= {LIMIT}""",
+    "query_tokens": f"WITH {_values([(q.qid, q.text) for q in BATCH], 'q', 'qid, t')} SELECT qid, unnest(range(length(t) - 1))::INT AS pos, unnest(list_transform(range(1, length(t)), lambda i: lower(substring(t, i, 2)))) AS token FROM q",
+    "eval_hit_paths": _EVAL + " SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY r, path) AS position, path FROM (SELECT qid, path, min(rank) AS r FROM rel GROUP BY ALL)",
     "hybrid_search": _hybrid_sql(BATCH) + " SELECT * FROM hybrid",
     "search_hydrate": _hybrid_sql(BATCH) + " SELECT qid, rank, h.doc_id, kind, title, path FROM hybrid h JOIN docs d ON h.doc_id = d.doc_id",
     "result_navigation": _hybrid_sql(BATCH).replace("WITH ", f"WITH {COMMITS_SQL}, ", 1) + """, fp AS (SELECT c.oid, p.oid AS parent FROM commit_log c LEFT JOIN commit_log p ON c.parents[1] = p.oid)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import text as T
-from loomline.operators.corpus import chunk_meta, commit_chunks, file_chunks, indexable
+from loomline.operators.corpus import chunk_meta, commit_chunks, file_chunks, indexable, whole_documents
+from loomline.operators.search import encode_texts, mean_vectors, token_vectors
 from loomline.plans.base import COMMITS_SQL, DOCS_SQL, HEAD_SQL, VECTORS_SQL, commits, documents, head_tree, vectors
 from loomline.session import table
 
@@ -92,8 +93,7 @@ def l2_normalize(spark, sf_dir):
 def mean_pool(spark, sf_dir):
     """Mean vector of the documents of each path, the pooling of an encoder that averages token vectors."""
     docs = documents(spark, sf_dir, "path").where("path IS NOT NULL").join(vectors(spark, sf_dir), "doc_id")
-    parts = docs.select("path", F.posexplode("vec").alias("i", "x")).groupBy("path", "i").agg(F.avg(F.col("x").cast("double")).alias("mean"))
-    return parts.select("path", F.col("i").cast("long").alias("i"), F.round("mean", 6).alias("mean"))
+    return mean_vectors(docs, "path").select("path", F.posexplode("vec").alias("i", "x")).select("path", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("mean"))
 
 
 def indexable_files(spark, sf_dir):
@@ -117,6 +117,36 @@ def embed_text(spark, sf_dir):
     return chunks.select("commit_oid", "path", "chunk_kind", F.coalesce("line_start", F.lit(0)).alias("line_start"), "symbol_name", F.md5("embed_text").alias("digest"))
 
 
+def whole_file_texts(spark, sf_dir):
+    """What is embedded of the files that go in whole by size or language: path and beginning."""
+    files = indexable(table(spark, sf_dir, "source_files"))
+    whole = files.where((F.octet_length("content") < T.WHOLE_FILE_BYTES) | ~T.has_symbols(T.language(F.col("path"))))
+    return whole_documents(whole).select("commit_oid", "path", F.md5("embed_text").alias("digest"))
+
+
+def embed_commits(spark, sf_dir):
+    """Vectors of all commit messages, from the vectors of their words; of each its two first components and length."""
+    chunks = commit_chunks(commits(spark, sf_dir, "message", "ts"))
+    docs = documents(spark, sf_dir, "title")
+    vec = encode_texts(chunks, token_vectors(docs, vectors(spark, sf_dir)), "commit_oid")
+    return vec.select("commit_oid", F.round(F.col("vec")[0], 5).alias("first"), F.round(F.col("vec")[1], 5).alias("second"), F.round(T.dot(F.col("vec"), F.col("vec")), 6).alias("length"))
+
+
+def symbol_checks(spark, sf_dir):
+    """Of every file with symbols: whether they lie on their lines, in order, beside one another, and each holds its name."""
+    from loomline.operators.corpus import symbols
+
+    files = indexable(table(spark, sf_dir, "source_files"))
+    found = symbols(files, ["file_id", "content"])
+    raw = F.encode("content", "UTF-8")
+    feeds = lambda end: F.length(F.regexp_replace(F.decode(F.substr(raw, F.lit(1), end), "UTF-8"), "[^\n]", ""))
+    lines = (feeds(F.col("byte_start").cast("int")) + 1 == F.col("line_start")) & (feeds(F.col("byte_end").cast("int") - 1) + 1 == F.col("line_end"))
+    whole = F.decode(F.substr(raw, F.col("byte_start").cast("int") + 1, (F.col("byte_end") - F.col("byte_start")).cast("int")), "UTF-8") == F.col("text")
+    before = F.lag("byte_end", 1, 0).over(Window.partitionBy("file_id").orderBy("byte_start"))
+    checked = found.select("file_id", (lines & whole & F.contains("text", F.col("name"))).alias("right"), (F.col("byte_start") >= before).alias("apart"))
+    return checked.groupBy("file_id").agg(F.every("right").alias("right"), F.every("apart").alias("apart")).where("NOT (right AND apart)")
+
+
 def extract_symbols(spark, sf_dir):
     """Symbols found in every file of a language with symbols."""
     from loomline.operators.corpus import symbols
@@ -160,8 +190,8 @@ QUERIES = {
     "split_message": split_message, "split_subject": split_subject, "commit_line": commit_line, "expand_tabs": expand_tabs,
     "line_count": line_count, "binary_files": binary_files, "doc_label": doc_label, "l2_normalize": l2_normalize,
     "mean_pool": mean_pool, "indexable_files": indexable_files, "chunk_routing": chunk_routing, "commit_chunks": commit_chunk_rows,
-    "embed_text": embed_text, "extract_symbols": extract_symbols, "chunk_to_meta": chunk_to_meta, "index_stats": index_stats,
-    "next_doc_id": next_doc_id, "doc_store": doc_store, "tree_expand": tree_expand,
+     "extract_symbols": extract_symbols, "chunk_to_meta": chunk_to_meta, "index_stats": index_stats,
+    "embed_text": embed_text, "whole_file_texts": whole_file_texts, "embed_commits": embed_commits, "symbol_checks": symbol_checks, "next_doc_id": next_doc_id, "doc_store": doc_store, "tree_expand": tree_expand,
 }
 
 _SP = T.SPACE
@@ -200,6 +230,17 @@ ORACLES = {
     "chunk_routing": f"WITH {_FILES} SELECT file_id, CASE WHEN strlen(content) >= 16384 AND coalesce({_LANG} IN ({_SYMBOLS}), false) THEN 'symbols' ELSE 'whole' END AS route FROM files",
     "commit_chunks": f"""WITH {COMMITS_SQL}, m AS (SELECT oid, ts, {_TITLE} AS title, {_BODY} AS body FROM commit_log WHERE message IS NOT NULL)
         SELECT oid AS commit_oid, title, body, epoch(ts)::BIGINT AS author_time, CASE WHEN body = '' THEN title ELSE title || chr(10) || body END AS embed_text FROM m""",
+    "whole_file_texts": f"""WITH {_FILES} SELECT commit_oid, path, md5(path || chr(10) || CASE WHEN strlen(content) <= 2048 THEN content
+          ELSE left(content, list_max(list_filter(range(500, 2049), lambda i: strlen(left(content, i)) <= 2048))) END) AS digest
+        FROM files WHERE strlen(content) < 16384 OR NOT coalesce({_LANG} IN ({_SYMBOLS}), false)""",
+    "embed_commits": rf"""WITH {COMMITS_SQL}, {VECTORS_SQL}, {DOCS_SQL}, m AS (SELECT oid, {_TITLE} AS title, {_BODY} AS body FROM commit_log WHERE message IS NOT NULL),
+        e AS (SELECT oid, CASE WHEN body = '' THEN title ELSE title || chr(10) || body END AS text FROM m),
+        has AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower({_CAMEL.format('title')}), '[\p{{L}}\p{{N}}]+'))) AS word FROM docs),
+        wide AS (SELECT word, unnest(vec) AS x, unnest(range(256)) AS i FROM has JOIN vectors USING (doc_id)),
+        tok AS (SELECT word, i, avg(x) AS x FROM wide GROUP BY ALL), words AS (SELECT oid, unnest(list_distinct(regexp_extract_all(lower({_CAMEL.format('text')}), '[\p{{L}}\p{{N}}]+'))) AS word FROM e),
+        mean AS (SELECT oid, i, avg(x) AS x FROM words JOIN tok USING (word) GROUP BY ALL)
+        SELECT oid AS commit_oid, round(max(CASE WHEN i = 0 THEN x END) / sqrt(sum(x * x)), 5) AS first, round(max(CASE WHEN i = 1 THEN x END) / sqrt(sum(x * x)), 5) AS second, 1.0::DOUBLE AS length FROM mean GROUP BY oid""",
+    "symbol_checks": "SELECT file_id, false AS right, false AS apart FROM source_files WHERE false",
     "index_stats": f"WITH {DOCS_SQL} SELECT count(*) FILTER (kind = 'commit') AS commit, count(*) FILTER (kind = 'file') AS file, count(*) FILTER (kind = 'symbol') AS symbol, count(*) AS total FROM docs",
     "next_doc_id": "SELECT coalesce(max(doc_id), 0) + 1 AS next_id FROM search_docs",
     "doc_store": f"WITH {DOCS_SQL} SELECT doc_id, kind, title, commit_oid, path, line_start, line_end FROM docs WHERE kind IS NOT NULL AND title IS NOT NULL AND commit_oid IS NOT NULL",

@@ -22,11 +22,13 @@ def build_session(master: str = "local[8]", app: str = "loomline", **conf: objec
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
-        "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-    } | {k.replace("__", "."): str(v) for k, v in conf.items()}
+    }
+    if master.startswith("local"):  # a cluster's own setting holds elsewhere
+        settings["spark.sql.shuffle.partitions"] = "8"
+    settings |= {k.replace("__", "."): str(v) for k, v in conf.items()}
     return SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate()
 
 

@@ -7,7 +7,6 @@ the tasks. Option ``rev`` names the revision (default HEAD), ``to`` the second o
 
 from __future__ import annotations
 
-import fnmatch
 import re
 import subprocess
 from collections.abc import Iterator
@@ -24,8 +23,8 @@ class RepoNotFound(Exception):
     pass
 
 
-def _git(path: str, *args: str) -> bytes:
-    found = subprocess.run(["git", "-c", "safe.directory=*", "-C", path, *args], capture_output=True, check=False)
+def _git(path: str, *args: str, given: bytes | None = None) -> bytes:
+    found = subprocess.run(["git", "-c", "safe.directory=*", "-C", path, *args], input=given, capture_output=True, check=False)
     if found.returncode:
         raise RepoNotFound(f"git {args[0]} in {path}: {found.stderr.decode('utf-8', 'replace').strip()}")
     return found.stdout
@@ -64,10 +63,10 @@ class _LogReader(_Reader):
         return _slices(_git(self.path, "rev-list", "--topo-order", self.rev).decode().split())
 
     def read(self, part: _Slice) -> Iterator[tuple]:
-        fields = "%H%x1f%P%x1f%an <%ae>%x1f%ct%x1f%B%x1e"
-        raw = _git(self.path, "show", "-s", f"--format={fields}", *part.items).decode("utf-8", "replace")
-        for i, record in enumerate(r for r in raw.split("\x1e") if r.strip()):
-            oid, parents, author, seconds, message = record.lstrip("\n").split("\x1f", 4)
+        # Records end with a null byte, which no message holds; the fields before the message are lines.
+        raw = _git(self.path, "show", "-s", "-z", "--format=%H%n%P%n%an <%ae>%n%ct%n%B", "--stdin", given="\n".join(part.items).encode()).decode("utf-8", "replace")
+        for i, record in enumerate(r for r in raw.split("\0") if r):
+            oid, parents, author, seconds, message = record.split("\n", 4)
             yield oid, oid[:7], author, datetime.fromtimestamp(int(seconds), UTC), message.strip(), part.first + i, parents.split()
 
 
@@ -95,10 +94,14 @@ class _BlobReader(_Reader):
         return _slices([r for r in raw.split("\0") if r.split(" ", 2)[1:2] == ["blob"]])
 
     def read(self, part: _Slice) -> Iterator[tuple]:
-        for record in part.items:
-            meta, path = record.split("\t", 1)
-            blob = meta.split()[2]
-            content = _git(self.path, "cat-file", "blob", blob)
+        # One process for all blobs of the partition: each comes as a line "oid kind size" and its bytes.
+        names = [(record.split("\t", 1)[1], record.split("\t", 1)[0].split()[2]) for record in part.items]
+        raw, at = _git(self.path, "cat-file", "--batch", given="".join(f"{blob}\n" for _, blob in names).encode()), 0
+        for path, blob in names:
+            end = raw.index(b"\n", at)
+            size = int(raw[at:end].split()[-1])
+            content = raw[end + 1 : end + 1 + size]
+            at = end + size + 2
             yield path, blob, content, content.decode("utf-8", "replace"), b"\0" in content[:8000]
 
 
@@ -167,24 +170,49 @@ def read(spark: SparkSession, kind: str, path: str, **options: str) -> DataFrame
     return spark.read.format(kind).options(path=open_repo(path), **options).load()
 
 
+def _glob(piece: str) -> str:
+    """A regular expression for one part of an ignore pattern; no sign but a double star crosses a slash."""
+    out, i = [], 0
+    while i < len(piece):
+        c = piece[i]
+        close = piece.find("]", i + 2) if c == "[" else -1
+        if c == "*":
+            out.append("[^/]*")
+        elif c == "?":
+            out.append("[^/]")
+        elif close > 0:
+            inside = piece[i + 1 : close]
+            inverted = inside[0] in "!^"
+            out.append("[" + ("^/" if inverted else "") + re.sub(r"([\\\[&~|])", r"\\\1", inside[inverted:]) + "]")
+            i = close
+        else:
+            if c == "\\" and i + 1 < len(piece):
+                i += 1
+                c = piece[i]
+            out.append(re.escape(c))
+        i += 1
+    return "".join(out)
+
+
+def ignore_pattern(line: str) -> tuple[str, bool] | None:
+    """(regular expression over paths, whether it takes back) of a line of a ``.gitignore``; None for a comment."""
+    line = line.rstrip("\n").rstrip()
+    if not line or line.startswith("#"):
+        return None
+    keep, line = line.startswith("!"), line.removeprefix("!")
+    below = line.endswith("/")
+    line = line.rstrip("/")
+    anchored = "/" in line
+    parts = {"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "/**": "/.*", "**": ".*"}
+    body = "".join(parts.get(piece) or _glob(piece) for piece in re.split(r"(/\*\*/|\*\*/|/\*\*|\*\*)", line.removeprefix("/")))
+    return ("^" if anchored else "(?:^|/)") + body + ("/" if below else "(?:/|$)"), keep
+
+
 def ignore_expression(path: Column, patterns: list[str]) -> Column:
     """Whether ignore patterns (of a ``.gitignore``) leave a path out: the last that matches decides, ``!`` takes
-    back, a slash within anchors to the root, a trailing slash matches directories and what is below them."""
+    back, a slash within anchors to the root, a trailing slash matches what is below a directory."""
     out = F.lit(False)
-    for raw in patterns:
-        line = raw.rstrip("\n").rstrip()
-        if not line or line.startswith("#"):
-            continue
-        keep, line = line.startswith("!"), line.lstrip("!")
-        below = line.endswith("/")
-        line = line.rstrip("/")
-        anchored = "/" in line
-        parts = []
-        for piece in re.split(r"(\*\*/|/\*\*|\*\*)", line.lstrip("/")):
-            if piece in ("**/", "/**", "**"):
-                parts.append({"**/": "(?:.*/)?", "/**": "/.*", "**": ".*"}[piece])
-            else:
-                parts.append(fnmatch.translate(piece)[4:-3].replace(".*", "[^/]*").replace("(?>[^/]*?", "(?:[^/]*?") if piece else "")
-        pattern = ("^" if anchored else "(?:^|/)") + "".join(parts) + ("/" if below else "(?:/|$)")
-        out = F.when(path.rlike(pattern), F.lit(not keep)).otherwise(out)
+    for found in map(ignore_pattern, patterns):
+        if found:
+            out = F.when(path.rlike(found[0]), F.lit(not found[1])).otherwise(out)
     return out

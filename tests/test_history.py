@@ -32,7 +32,7 @@ def repo(tmp_path_factory):
 
     run("init", "-q", "-b", "main")
     commit("Add keep\n\nbody", keep=b"v1", src__a=b"a\n", bin=b"a\x00b")
-    commit("Edit", keep=b"v2", new=b"n", src__a=None)
+    commit("Edit", keep=b"v2", new=b"n", src__a=None, empty=b"", lines=b"a\nb\n")
     return path
 
 
@@ -45,7 +45,8 @@ def test_git_sources(spark, repo):
     blobs = {r.path: r for r in git.read(spark, "git_blob", repo, rev=log[1].oid).collect()}
     assert blobs["keep"].text == "v1" and blobs["bin"].is_binary and not blobs["src/a"].is_binary
     diff = {r.path: r.change for r in git.read(spark, "git_diff", repo, rev=log[1].oid, to=log[0].oid).collect()}
-    assert diff == {"keep": "modified", "new": "added", "src/a": "deleted"}
+    assert diff == {"keep": "modified", "new": "added", "src/a": "deleted", "empty": "added", "lines": "added"}
+    assert {r.path: bytes(r.content) for r in git.read(spark, "git_blob", repo).collect()} == {"keep": b"v2", "new": b"n", "bin": b"a\0b", "empty": b"", "lines": b"a\nb\n"}
     assert git.head_info(repo) == (log[0].oid, "main")
     assert git.open_repo(os.path.join(repo, ".")) == os.path.realpath(repo)
     with pytest.raises(git.RepoNotFound):
@@ -75,6 +76,24 @@ def test_ignore_patterns(spark):
     assert {r.path for r in paths.where(flag).collect()} == {"a.log", "src/b.log", "target/x", "docs/a/b.md"}
 
 
+def test_ignore_signs(spark, tmp_path):
+    """As git itself decides."""
+    names = ["a.c", "ab.c", "a/c", "src/x.o", "src/y.o", "src/z1.o", "src/deep/x.o", "lib/a-b", "lib/a+b", "docs/n.md", "docs/sub/n.md", "build/out", "x/build/out", "keep.o"]
+    patterns = ["a?c", "src/[xy].o", "z[!2-9].o", "lib/a+b", "/docs/**/n.md", "build/", "!keep.o"]
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    (tmp_path / ".gitignore").write_text("\n".join(patterns))
+    out = subprocess.run(["git", "-C", str(tmp_path), "check-ignore", "--no-index", "--stdin"], input="\n".join(names), capture_output=True, text=True, check=False).stdout.split("\n")
+    paths = spark.createDataFrame([(n,) for n in names], "path string")
+    assert {r.path for r in paths.where(git.ignore_expression(F.col("path"), patterns)).collect()} == set(filter(None, out))
+
+
+def test_lookup(spark):
+    log = spark.createDataFrame([("a", "m1"), ("b", "m2")], "oid string, message string")
+    loaded = spark.createDataFrame([("a", "page")], "oid string, message string")
+    wanted = spark.createDataFrame([("a",), ("b",), ("c",)], "oid string")
+    assert {tuple(r) for r in H.lookup(wanted, loaded, log).collect()} == {("a", "page", "loaded"), ("b", "m2", "log"), ("c", None, None)}
+
+
 def graph(spark, edges):
     return spark.createDataFrame([(o, p, i) for i, (o, p) in enumerate(edges.items())], "oid string, parents array<string>, topo_pos int")
 
