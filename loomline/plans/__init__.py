@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("snapshot_queries", "text_queries", "history_queries", "search_queries")
+MODULES = ("snapshot_queries", "text_queries", "history_queries", "search_queries", "index_queries")
 FLAGSHIP = "bm25_search"
 
 

@@ -87,7 +87,7 @@ def tree_visible(spark, sf_dir):
     return H.visible(tree, folded).select("repo", "path")
 
 
-def _last_changes(spark, sf_dir) -> DataFrame:
+def last_changes(spark, sf_dir) -> DataFrame:
     """Changes between the last two snapshots of each repo."""
     tree = table(spark, sf_dir, "tree_snapshots")
     last = tree.groupBy("repo").agg(F.max("snapshot_no").alias("snapshot_no"))
@@ -95,11 +95,11 @@ def _last_changes(spark, sf_dir) -> DataFrame:
 
 
 def snapshot_changes(spark, sf_dir):
-    return _last_changes(spark, sf_dir)
+    return last_changes(spark, sf_dir)
 
 
 def next_changed(spark, sf_dir):
-    changed = _last_changes(spark, sf_dir).where("change <> 'deleted'")
+    changed = last_changes(spark, sf_dir).where("change <> 'deleted'")
     return H.changed_neighbours(head_tree(spark, sf_dir).select("repo", "path", "kind"), changed)
 
 
@@ -111,24 +111,24 @@ def tree_order(spark, sf_dir):
 
 def nearest_ancestor(spark, sf_dir):
     """Where a view of a path deleted last lands in the head tree."""
-    gone = _last_changes(spark, sf_dir).where("change = 'deleted'").select("repo", "path")
+    gone = last_changes(spark, sf_dir).where("change = 'deleted'").select("repo", "path")
     return H.nearest_ancestor(gone, head_tree(spark, sf_dir).select("repo", "path"))
 
 
 def dir_change_rollup(spark, sf_dir):
-    changed = _last_changes(spark, sf_dir).where("change <> 'deleted'")
+    changed = last_changes(spark, sf_dir).where("change <> 'deleted'")
     return H.change_rollup(head_tree(spark, sf_dir).select("repo", "path", "kind"), changed)
 
 
 def stale_docs(spark, sf_dir):
-    return H.stale_documents(documents(spark, sf_dir, "path"), _last_changes(spark, sf_dir)).select("doc_id")
+    return H.stale_documents(documents(spark, sf_dir, "path"), last_changes(spark, sf_dir)).select("doc_id")
 
 
 def incremental_docs(spark, sf_dir):
     """Documents after an incremental build: those of modified and deleted paths are gone, and the files added or
     modified have come anew; all others stay as they are."""
     old = documents(spark, sf_dir, "kind", "title", "path")
-    changes = _last_changes(spark, sf_dir)
+    changes = last_changes(spark, sf_dir)
     live = delete(old, H.stale_documents(old, changes)).select("kind", "title", "path")
     fresh = changes.where(F.col("change").isin("added", "modified")).select("path").distinct()
     return live.unionByName(fresh.select(F.lit("file").alias("kind"), F.col("path").alias("title"), "path"))
@@ -191,8 +191,8 @@ QUERIES = {
     "line_diff": line_diff_rows, "latency_percentiles": latency_percentiles, "debounce_last": debounce_last, "head_change_stream": head_change_stream,
 }
 
-_LAST = CHANGES_SQL + ", last_no AS (SELECT repo, max(snapshot_no) AS snapshot_no FROM tree_snapshots GROUP BY repo), last_changes AS (SELECT repo, path, change FROM changes JOIN last_no USING (repo, snapshot_no))"
-_LAST_HEAD = _LAST + ", " + HEAD_SQL
+LAST_SQL = CHANGES_SQL + ", last_no AS (SELECT repo, max(snapshot_no) AS snapshot_no FROM tree_snapshots GROUP BY repo), last_changes AS (SELECT repo, path, change FROM changes JOIN last_no USING (repo, snapshot_no))"
+_LAST_HEAD = LAST_SQL + ", " + HEAD_SQL
 _SMALL = "diff AS (SELECT * FROM (VALUES " + ", ".join(str(r) for r in DIFF_ROWS) + ") AS v(file, pos, kind, content))"
 _DIFF = rf"""split AS (SELECT file_id, string_split(CASE WHEN ends_with(content, chr(10)) THEN content[:-2] ELSE content END, chr(10)) AS l FROM source_files WHERE content <> ''),
 numbered AS (SELECT file_id, unnest(l) AS content, unnest(range(1, len(l) + 1)) AS old_no FROM split),
@@ -229,7 +229,7 @@ ORACLES = {
         olds(repo, oid) AS (SELECT c.repo, c.oid FROM commit_log c JOIN ends e ON c.repo = e.repo AND c.topo_pos = e.m UNION SELECT n.repo, p.oid FROM olds n JOIN commit_log c ON c.oid = n.oid, unnest(c.parents) AS u(x) JOIN commit_log p ON p.oid = x)
         SELECT repo, oid FROM news EXCEPT SELECT repo, oid FROM olds""",
     "tree_visible": f"WITH {HEAD_SQL} SELECT DISTINCT repo, path FROM head WHERE NOT (" + " OR ".join(f"starts_with(path, '{p}/')" for p in COLLAPSED) + ")",
-    "snapshot_changes": _LAST + " SELECT repo, path, change FROM last_changes",
+    "snapshot_changes": LAST_SQL + " SELECT repo, path, change FROM last_changes",
     "next_changed": _LAST_HEAD + """, flagged AS (SELECT h.repo, h.path, """ + _ORDER + """ AS o, CASE WHEN l.path IS NOT NULL AND h.kind = 'file' THEN h.path END AS m
         FROM (SELECT DISTINCT repo, path, kind FROM head) h LEFT JOIN last_changes l ON h.repo = l.repo AND h.path = l.path AND l.change <> 'deleted')
         SELECT repo, path, first_value(m IGNORE NULLS) OVER (PARTITION BY repo ORDER BY o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_changed,
@@ -240,8 +240,8 @@ ORACLES = {
         SELECT g.repo, g.path, found FROM gone g LEFT JOIN best USING (repo, path)""",
     "dir_change_rollup": _LAST_HEAD + f""", up AS (SELECT repo, unnest({_UP}) AS path FROM last_changes WHERE change <> 'deleted')
         SELECT repo, path, count(*) AS changed FROM up JOIN (SELECT DISTINCT repo, path FROM head WHERE kind = 'directory') USING (repo, path) GROUP BY ALL""",
-    "stale_docs": _LAST + f", {DOCS_SQL} SELECT doc_id FROM docs WHERE path IN (SELECT path FROM last_changes WHERE change IN ('modified', 'deleted'))",
-    "incremental_docs": _LAST + f""", {DOCS_SQL} SELECT kind, title, path FROM docs WHERE path IS NULL OR path NOT IN (SELECT path FROM last_changes WHERE change IN ('modified', 'deleted'))
+    "stale_docs": LAST_SQL + f", {DOCS_SQL} SELECT doc_id FROM docs WHERE path IN (SELECT path FROM last_changes WHERE change IN ('modified', 'deleted'))",
+    "incremental_docs": LAST_SQL + f""", {DOCS_SQL} SELECT kind, title, path FROM docs WHERE path IS NULL OR path NOT IN (SELECT path FROM last_changes WHERE change IN ('modified', 'deleted'))
         UNION ALL SELECT 'file', path, path FROM (SELECT DISTINCT path FROM last_changes WHERE change IN ('added', 'modified'))""",
     "topological_depth": f"""WITH RECURSIVE {COMMITS_SQL}, ways(oid, depth) AS (SELECT oid, 0 FROM commit_log
         UNION SELECT c.oid, w.depth + 1 FROM ways w JOIN (SELECT oid, unnest(parents) AS p FROM commit_log) c ON c.p = w.oid) SELECT oid, max(depth) AS depth FROM ways GROUP BY oid""",

@@ -267,7 +267,7 @@ def _pattern_sql(pattern: grammar.Pattern) -> str:
     return " AND ".join(out)
 
 
-def _bm25_sql(queries: list[S.Query], weights=None) -> str:
+def bm25_sql(queries: list[S.Query], weights=None) -> str:
     """CTEs up to ``words``(qid, rank, doc_id, score), all ranks. A phrase is a pattern over the terms of the title."""
     a = S.asked(queries, weights)
     rows = []
@@ -323,7 +323,7 @@ _BASE = f"WITH {DOCS_SQL}, {VECTORS_SQL}, "
 
 
 def _both(queries: list[S.Query]) -> str:
-    return _BASE + _bm25_sql(queries) + ", " + _near_sql(queries)
+    return _BASE + bm25_sql(queries) + ", " + _near_sql(queries)
 
 
 _LISTS = _both(BATCH) + ", a AS (SELECT * FROM words WHERE rank <= 20), b AS (SELECT * FROM near WHERE rank <= 20)"
@@ -382,9 +382,9 @@ _EVAL = _eval_sql()
 _AVG = ", ".join(f"round(coalesce(avg({m}), 0), 6) AS {m}" for m in E.METRICS)
 
 ORACLES = {
-    "bm25_search": f"WITH {DOCS_SQL}, {_bm25_sql(BATCH)} SELECT * FROM words WHERE rank <= {LIMIT}",
-    "bm25_path_title": f"WITH {DOCS_SQL}, {_bm25_sql(BATCH, grammar.PATH_TITLE_WEIGHTS)} SELECT * FROM words WHERE rank <= {LIMIT}",
-    "bm25_grammar": f"WITH {DOCS_SQL}, {_bm25_sql(GRAMMAR)} SELECT * FROM words WHERE rank <= {LIMIT}",
+    "bm25_search": f"WITH {DOCS_SQL}, {bm25_sql(BATCH)} SELECT * FROM words WHERE rank <= {LIMIT}",
+    "bm25_path_title": f"WITH {DOCS_SQL}, {bm25_sql(BATCH, grammar.PATH_TITLE_WEIGHTS)} SELECT * FROM words WHERE rank <= {LIMIT}",
+    "bm25_grammar": f"WITH {DOCS_SQL}, {bm25_sql(GRAMMAR)} SELECT * FROM words WHERE rank <= {LIMIT}",
     "query_parse": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_quote, r)) + ")" for r in READ) + ") AS v(qid, field, terms, way, weight)",
     "term_stats": f"""WITH {DOCS_SQL}, a AS (SELECT doc_id, 'title' AS field, {_FIELD_SQL["title"]} AS terms FROM docs UNION ALL SELECT doc_id, 'path_terms', {_FIELD_SQL["path_terms"]} FROM docs UNION ALL SELECT doc_id, 'body', {_FIELD_SQL["body"]} FROM docs WHERE body IS NOT NULL),
         s AS (SELECT field, round(avg(len(terms)), 6) AS avgdl FROM a WHERE terms IS NOT NULL GROUP BY field),
@@ -397,7 +397,7 @@ ORACLES = {
     "rrf_anchor": _LISTS + _rrf_sql(1.5) + f""", p AS (SELECT qid, doc_id, 0 AS part, rank AS place, score FROM a WHERE rank <= 3 UNION ALL SELECT qid, doc_id, 1, rank, score FROM rrf WHERE rank <= {LIMIT} + 3),
         o AS (SELECT qid, doc_id, min((part, place, score)) AS b FROM p GROUP BY ALL)
         SELECT qid, rank, doc_id, score FROM (SELECT qid, doc_id, b[3] AS score, row_number() OVER (PARTITION BY qid ORDER BY b) AS rank FROM o) WHERE rank <= {LIMIT}""",
-    "diagnose": f"""{_BASE}{_bm25_sql(BATCH)}, {_near_sql(BATCH, whole=True)}, {_values([(q.qid, grammar.has_hangul(q.text)) for q in BATCH], "facts", "qid, korean")},
+    "diagnose": f"""{_BASE}{bm25_sql(BATCH)}, {_near_sql(BATCH, whole=True)}, {_values([(q.qid, grammar.has_hangul(q.text)) for q in BATCH], "facts", "qid, korean")},
         u AS (SELECT w.qid, doc_id, 1.0::DOUBLE / (60 + rank) AS s, CASE WHEN korean AND rank <= 3 THEN rank END AS pin, score, rank AS a, NULL AS b FROM words w JOIN facts USING (qid) WHERE rank <= {LIMIT}
               UNION ALL SELECT n.qid, doc_id, CASE WHEN korean THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END / (60 + rank), NULL, NULL, NULL, rank FROM near n JOIN facts USING (qid) WHERE rank <= {LIMIT}),
         f AS (SELECT qid, doc_id, round(sum(s), 9) AS s, max(pin) AS pin, max(score) AS score, max(a) AS a, max(b) AS b FROM u GROUP BY ALL),

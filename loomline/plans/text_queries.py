@@ -196,8 +196,9 @@ QUERIES = {
 
 _SP = T.SPACE
 _CAMEL = r"regexp_replace(regexp_replace({0}, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g')"
-_PATH_TERMS = _CAMEL.format(r"translate(path, '/.-_\', '     ')")
+PATH_TERMS_SQL = _CAMEL.format(r"translate(path, '/.-_\', '     ')")
 _ALIASES = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in T.KOREAN_ALIASES.items()) + "}"
+ALIASES_SQL = f"coalesce(list_aggregate(list_filter(list_transform(string_split_regex(lower({PATH_TERMS_SQL}), '\\s+'), lambda t: map_extract_value({_ALIASES}, t)), lambda x: x IS NOT NULL), 'string_agg', ' '), '')"
 _LANGS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in T.LANGUAGES.items()) + "}"
 _LANG = f"map_extract_value({_LANGS}, nullif(regexp_extract(path, '[^/]\\.([^./]+)$', 1), ''))"
 _SYMBOLS = ", ".join(f"'{x}'" for x in T.SYMBOL_LANGUAGES)
@@ -208,10 +209,10 @@ _PATHS = "paths AS (SELECT DISTINCT path FROM tree_snapshots)"
 
 ORACLES = {
     "camel_split": f"WITH {DOCS_SQL} SELECT doc_id, {_CAMEL.format('title')} AS split FROM docs WHERE title IS NOT NULL",
-    "path_terms": f"WITH {_PATHS} SELECT path, {_PATH_TERMS} AS terms FROM paths",
+    "path_terms": f"WITH {_PATHS} SELECT path, {PATH_TERMS_SQL} AS terms FROM paths",
     "path_depth": f"WITH {_PATHS} SELECT path, length(rtrim(path, '/')) - length(replace(rtrim(path, '/'), '/', '')) AS depth FROM paths",
     "detect_language": f"WITH {_PATHS} SELECT path, {_LANG} AS language, coalesce({_LANG} IN ({_SYMBOLS}), false) AS symbols FROM paths",
-    "alias_expand": f"WITH {_PATHS} SELECT path, coalesce(list_aggregate(list_filter(list_transform(string_split_regex(lower({_PATH_TERMS}), '\\s+'), lambda t: map_extract_value({_ALIASES}, t)), lambda x: x IS NOT NULL), 'string_agg', ' '), '') AS aliases FROM paths",
+    "alias_expand": f"WITH {_PATHS} SELECT path, {ALIASES_SQL} AS aliases FROM paths",
     "word_tokens": rf"WITH {DOCS_SQL}, t AS (SELECT doc_id, unnest(regexp_extract_all(lower({_CAMEL.format('title')}), '[\p{{L}}\p{{N}}]+')) AS term FROM docs) SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL",
     "bigrams": f"WITH {DOCS_SQL}, g AS (SELECT unnest(list_transform(range(1, length(body)), lambda i: lower(substring(body, i, 2)))) AS gram FROM docs WHERE length(body) >= 2) SELECT gram, count(*) AS n FROM g GROUP BY ALL",
     "detect_hangul": f"WITH {COMMITS_SQL} SELECT oid, coalesce(regexp_matches(message, '[가-힯]'), false) AS korean FROM commit_log",

@@ -81,7 +81,7 @@ def test_bm25_path_title_takes_the_whole_batch(spark):
     from loomline.plans import search_queries as Q
 
     got = {tuple(r) for r in query("bm25_path_title")(spark, SF).collect()}
-    assert got == duck(f"WITH {Q.DOCS_SQL}, {Q._bm25_sql(Q.BATCH, grammar.PATH_TITLE_WEIGHTS)} SELECT qid, rank, doc_id, score FROM words WHERE rank <= {Q.LIMIT}")
+    assert got == duck(f"WITH {Q.DOCS_SQL}, {Q.bm25_sql(Q.BATCH, grammar.PATH_TITLE_WEIGHTS)} SELECT qid, rank, doc_id, score FROM words WHERE rank <= {Q.LIMIT}")
     assert {r[0] for r in got} - {1, 2, 3}
 
 
