@@ -10,6 +10,8 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.session import parameters
+
 #: Categories with expected hits, in the order of reports.
 CATEGORIES = ("exact_identifier", "natural_language", "korean", "typo", "paraphrase")
 DEPTH = 10
@@ -87,7 +89,7 @@ def overall(evaluated: DataFrame) -> DataFrame:
 
 def by_category(evaluated: DataFrame) -> DataFrame:
     """One row for each category in the order of reports, zeros where it has no query."""
-    order = evaluated.sparkSession.createDataFrame(list(enumerate(CATEGORIES)), "position int, category string")
+    order = parameters(evaluated.sparkSession, list(enumerate(CATEGORIES)), "position int, category string")
     grouped = evaluated.groupBy("category").agg(*(F.round(F.avg(m), 6).alias(m) for m in METRICS), F.count("*").alias("n"))
     return order.join(grouped, "category", "left").na.fill(0, [*METRICS, "n"])
 

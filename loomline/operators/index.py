@@ -4,7 +4,7 @@ An index directory holds immutable segments and one pointer file::
 
     <dir>/meta.json              which segments hold, oldest first, and what the index was built from
     <dir>/segment=<id>/docs      documents with their metadata and texts
-    <dir>/segment=<id>/postings  (field, term, doc_id, tf, dl, places), partitioned by field, sorted by term
+    <dir>/segment=<id>/postings  (field, term, doc_id, tf, dl), partitioned by field, sorted by term
     <dir>/segment=<id>/lengths   (doc_id, field, dl)
     <dir>/segment=<id>/vectors   (doc_id, vec)
     <dir>/segment=<id>/gone      (doc_id): documents of older segments that this one removes
@@ -163,7 +163,7 @@ def _write_segment(folder: str, docs: DataFrame, vectors: DataFrame, gone: DataF
     rows = S.analysed(stored, FIELDS)
     # Ranges of (field, term, document): a term that nearly all documents have is spread over tasks.
     S.postings(rows).repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.partitionBy("field").parquet(f"{base}/postings")
-    rows.select("doc_id", "field", F.size("terms").alias("dl")).write.parquet(f"{base}/lengths")
+    S.lengths(stored, FIELDS).write.parquet(f"{base}/lengths")
     sums = _sums(spark.read.parquet(f"{base}/lengths"))
     if taken is not None:
         sums = sums.unionByName(taken.select("field", (-F.col("n")).alias("n"), (-F.col("total")).alias("total"))).groupBy("field").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))

@@ -13,8 +13,9 @@ from loomline.operators import grammar
 from loomline.operators import history as H
 from loomline.operators import search as S
 from loomline.plans.base import COMMITS_SQL, DOCS_SQL, VECTORS_SQL, commits, documents, vectors
+from loomline.session import parameters
 
-LIMIT = 10
+LIMIT, FIELDS = 10, ["path_terms", "title", "body"]
 
 #: The query set of the retrieval queries.
 BATCH = [
@@ -99,14 +100,14 @@ def query_parse(spark, sf_dir):
 
         rows += [(q.qid, g.field, " ".join(g.terms), way(g.number), g.weight) for g in parsed.groups]
         rows += [(q.qid, p.field, p.prefix or "|".join(p.values or ()) or f"{p.low or ''}..{p.high or ''}", way(p.number), p.weight) for p in parsed.patterns]
-    return spark.createDataFrame(rows, "qid int, field string, terms string, way string, weight double")
+    return parameters(spark, rows, "qid int, field string, terms string, way string, weight double")
 
 
 def term_stats(spark, sf_dir):
     """Document frequency and number of each term of each field, and the fields' mean length."""
-    rows = S.analysed(documents(spark, sf_dir, "title", "path_terms", "body"), ["path_terms", "title", "body"])
-    counts = S.postings(rows).groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
-    return counts.join(F.broadcast(S.field_stats(rows).select("field", F.round("avgdl", 6).alias("avgdl"))), "field")
+    docs = documents(spark, sf_dir, *FIELDS)
+    counts = S.postings(S.analysed(docs, FIELDS)).groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+    return counts.join(F.broadcast(S.field_stats(S.lengths(docs, FIELDS)).select("field", F.round("avgdl", 6).alias("avgdl"))), "field")
 
 
 def _query_vectors(spark, sf_dir) -> DataFrame:
@@ -153,7 +154,7 @@ def diagnose(spark, sf_dir):
 
 def query_tokens(spark, sf_dir):
     """The tokens that a query gives in the body, as a diagnosis lists them."""
-    texts = spark.createDataFrame([(q.qid, q.text) for q in BATCH], "qid int, text string")
+    texts = parameters(spark, [(q.qid, q.text) for q in BATCH], "qid int, text string")
     return texts.select("qid", F.posexplode(T.bigrams(F.col("text"))).alias("pos", "token"))
 
 
@@ -185,11 +186,11 @@ def path_filtered_search(spark, sf_dir):
 
 def path_filter_parse(spark, sf_dir):
     rows = [(q.qid, *grammar.extract_path_filter(q.text)) for q in BATCH]
-    return spark.createDataFrame(rows, "qid int, path string, rest string")
+    return parameters(spark, rows, "qid int, path string, rest string")
 
 
 def _fixtures(spark) -> DataFrame:
-    return spark.createDataFrame(FIXTURES, E.FIXTURE_TYPE)
+    return parameters(spark, FIXTURES, E.FIXTURE_TYPE)
 
 
 def _judged(spark, sf_dir) -> DataFrame:
@@ -223,7 +224,7 @@ def eval_negatives(spark, sf_dir):
 
 def fixture_violations(spark, sf_dir):
     bad = [*FIXTURES, (8, "x", "negative", [("a", None, None)], []), (9, "y", "typo", [], [("a", None)]), (10, "z", "negative", [], [("a", "b")]), (11, "w", "other", [("a", None, None)], [])]
-    return E.fixture_violations(spark.createDataFrame(bad, E.FIXTURE_TYPE))
+    return E.fixture_violations(parameters(spark, bad, E.FIXTURE_TYPE))
 
 
 QUERIES = {

@@ -6,7 +6,10 @@ import os
 import tempfile
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -32,6 +35,14 @@ def build_session(master: str = "local[8]", app: str = "loomline", **conf: objec
     return SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate()
 
 
+def parameters(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of parameters, handed over as one Arrow table: no task has to start Python to read it."""
+    types = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(types)
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(arrow)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow), types)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage: the session's own setting, else (tests, laptops) a temporary one.
 

@@ -64,13 +64,39 @@ def test_query_language(spark):
     assert all(s == pytest.approx(2 * score[2, i]) for (n, i), s in score.items() if n == 1)
 
 
-def test_many_terms_give_the_same(spark, monkeypatch):
-    """Terms joined to all terms instead of looked for in arrays."""
-    d = I.with_terms(docs(spark, *((i, f"open file {i % 7} cache open", f"src/m{i % 5}.rs", f"body {i % 11} text") for i in range(60))))
+def test_many_terms_give_the_same(spark, tmp_path, monkeypatch):
+    """With the filter pushed down to the scan of an index, without it, and without an index."""
+    rows = docs(spark, *((i, f"open file {i % 7} cache open", f"src/m{i % 5}.rs", f"body {i % 11} text") for i in range(60)), (99, None, None, None))
+    I.build(spark, str(tmp_path / "i"), "h", rows, vectors(spark, [1]))
+    index = I.Index.open(spark, str(tmp_path / "i"))
     queries = [S.Query(1, '"open file" m3 -cache4'), S.Query(2, "text cache m1")]
-    few = {tuple(r) for r in S.bm25(spark, d, queries, 20).collect()}
-    monkeypatch.setattr(S, "ARRAY_TERMS", 0)
-    assert {tuple(r) for r in S.bm25(spark, d, queries, 20).collect()} == few and few
+    pushed = {tuple(r) for r in index.bm25(queries, 20).collect()}
+    monkeypatch.setattr(S, "PUSHED_TERMS", 0)
+    assert {tuple(r) for r in index.bm25(queries, 20).collect()} == pushed and pushed
+    assert {tuple(r) for r in S.bm25(spark, I.with_terms(rows), queries, 20).collect()} == pushed
+
+
+def test_lengths_are_those_of_the_terms(spark):
+    d = I.with_terms(docs(spark, (1, "ab Cd", "a/b.rs", "한글 x"), (2, None, None, None), (3, "", "x", "y"), (4, "-", "/", "")))
+    made = S.analysed(d, I.FIELDS).select("doc_id", "field", F.size("terms").alias("dl"))
+    assert {tuple(r) for r in S.lengths(d, I.FIELDS).collect()} == {tuple(r) for r in made.collect()}
+
+
+def test_encoders(spark):
+    texts = spark.createDataFrame([(i, None if i == 3 else "x" * i) for i in range(150)], "doc_id long, embed_text string")
+    sizes = []
+
+    def encoder(batch):
+        sizes.append(len(batch))
+        assert len(batch) <= 64
+        return [[len(t), 1.0] for t in batch]
+
+    found = {r.doc_id: list(r.vec) for r in S.encode_batches(texts, encoder, 2, "doc_id").collect()}
+    assert found == {i: [0.0 if i == 3 else float(i), 1.0] for i in range(150)}
+    assert S.encode_batches(texts.where("false"), encoder, 2, "doc_id").count() == 0
+    tokens = spark.createDataFrame([("a", [3.0, 0.0]), ("b", [0.0, 4.0])], "word string, vec array<double>")
+    texts = spark.createDataFrame([(1, "a b b"), (2, "c"), (3, None), (4, "A")], "doc_id long, embed_text string")
+    assert {r.doc_id: [round(x, 6) for x in r.vec] for r in S.encode_texts(texts, tokens, "doc_id").collect()} == {1: [0.6, 0.8], 4: [1.0, 0.0]}
 
 
 def test_vectors(spark):
@@ -103,6 +129,7 @@ def test_metrics(spark):
     assert per[1].mrr == 0.5 and per[1].recall_5 == 0.5 and per[1].recall_10 == 1.0
     assert per[1].ndcg_10 == pytest.approx((1 / math.log2(3) + 1 / math.log2(7)) / ideal, abs=1e-6)
     assert per[2].mrr == 0.0 and per[2].first_rank is None
+    assert [(r.qid, r.position, r.path) for r in E.hit_paths(fixtures, res).orderBy("qid", "position").collect()] == [(1, 1, "a"), (1, 2, "b")]
     cats = E.by_category(E.per_query(fixtures, res)).orderBy("position").collect()
     assert [c.category for c in cats] == list(E.CATEGORIES) and [c.n for c in cats] == [0, 0, 1, 1, 0]
     assert E.negatives(fixtures, res).collect()[0].pass_rate == 0.0
