@@ -22,9 +22,10 @@ _THAI_GAP = regex.compile(r"(?<=\p{Thai})[^\S\r\n]+(?=\p{Thai})")
 _QUOTES = regex.compile("[\"“”„«»()\\[\\]{}`（）「」『』【】《》〈〉‹›‚‘]")
 _OPENERS = {"“": "”", "„": "“”", "«": "»", "(": ")", "[": "]", "{": "}", "（": "）)", "「": "」", "『": "』", "【": "】", "《": "》", "〈": "〉", "‹": "›"}
 _SPACED_CLOSER = regex.compile(r"[^\S\r\n]?[»›]")
-_LEFT = regex.compile(r"(?:[^\s\"“”„«»()（）「」『』\[\]{}`、，,;；:：!?…。！？।؟]|(?<=\d),(?=\d))+\Z")
-_CJK_TAIL = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]\Z")
-_AFTER_CJK = regex.compile(r"[^\p{Han}\p{Hiragana}\p{Katakana}ー]+\Z")
+# These two match backwards from where they are asked to end.
+_LEFT = regex.compile(r"(?r)(?:[^\s\"“”„«»()（）「」『』\[\]{}`、，,;；:：!?…。！？।؟]|(?<=\d),(?=\d))+")
+_AFTER_CJK = regex.compile(r"(?r)[^\p{Han}\p{Hiragana}\p{Katakana}ー]+")
+_CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
 _LETTER = regex.compile(r"\p{L}")
 _RIGHT = regex.compile(r"[\p{L}\p{M}\p{N}_]+(?:[.\-/][\p{L}\p{N}_]+)*")
 _DIGITS = regex.compile(r"\d+")
@@ -54,6 +55,17 @@ def script_of(c: str) -> str:
     return next((n for n, p in _SCRIPTS if p.match(c)), "o")
 
 
+@functools.lru_cache(maxsize=65536)
+def _is_cjk(c: str) -> bool:
+    return bool(_CJK.match(c))
+
+
+@functools.lru_cache(maxsize=65536)
+def _word(token: str) -> str:
+    """The token in small letters, all numbers alike."""
+    return _DIGITS.sub("9", token.lower())
+
+
 @functools.lru_cache(maxsize=65536)
 def _left_shape(token: str) -> str:
     low = token.lower()
@@ -118,19 +130,26 @@ def _pairs(p: str) -> list[tuple[int, int]]:
     return out
 
 
-def _features(left: str, marks: str, closers: str, tight: bool, right: str) -> tuple[tuple[str, ...], tuple, str]:
-    """(features, evidence keys, kind of what follows)."""
-    tail = _CJK_TAIL.search(left)
-    token = tail[0] if tail else (m[0] if (m := _LEFT.search(left)) else "")
-    if not tail and token and (m := _AFTER_CJK.search(token)):
-        token = m[0]
+#: A token is known to the classifier by the characters nearest to the mark, at most so many, so that a text of one
+#: endless token takes linear time. Longer ones are not words.
+TOKEN_CHARS = 256
+
+
+def _features(p: str, start: int, letter: str, marks: str, closers: str, tight: bool, text: str, at: int) -> tuple[tuple[str, ...], tuple, str]:
+    """(features, evidence keys, kind of what follows) of marks at ``start`` of a paragraph, before ``at`` of a text;
+    letter is the last one before the marks."""
+    if start and _is_cjk(p[start - 1]):
+        token = p[start - 1]
+    else:
+        token = m[0] if (m := _LEFT.match(p, max(0, start - TOKEN_CHARS), start)) else ""
+        if token and (m := _AFTER_CJK.match(token)):
+            token = m[0]
     token = token.lstrip(".'’-")
-    letter = next((c for c in reversed(left) if c.isalpha()), "")
     script = script_of(letter) if letter else "o"
-    word = _DIGITS.sub("9", token.lower())
+    word = _word(token)
     shape = _left_shape(token)
     mark = marks if len(marks) < 4 else marks[:3]
-    kind, right_script = _right_kind(right[:48])
+    kind, right_script = _right_kind(m[0] if (m := _RIGHT.match(text, at, at + TOKEN_CHARS)) else text[at])
     gap = "0" if tight else "1"
     f = [
         f"m:{mark}", f"r:{kind}", f"s:{shape}", f"w:{word}|{mark}", f"S:{script}|{mark}|{closers}|{gap}", f"x:{mark}|{closers}|{gap}|{kind}",
@@ -149,15 +168,23 @@ def candidates(p: str) -> Iterator[tuple[int, int, tuple | None]]:
     """(end, start of the next unit, features) of every candidate boundary in a paragraph; the features of a mark
     that ends the paragraph are None. Marks within a quotation, bracket or code span are no candidates."""
     spans = _pairs(p)
-    k = 0
+    k = seen = 0
+    letter = ""
     for m in _MARKS.finditer(p):
         start, end = m.span()
+        i = start - 1
+        while i >= seen and not p[i].isalpha():
+            i -= 1
+        letter, seen = p[i] if i >= seen else letter, end
         while k < len(spans) and spans[k][1] < start:
             k += 1
         e = end
         if k < len(spans) and spans[k][0] < start:
             close = spans[k][1]
-            if p[end:close].strip():
+            i = end
+            while i < close and p[i].isspace():
+                i += 1
+            if i < close:
                 continue
             e = close + 1
             while e < len(p) and (n := _SPACED_CLOSER.match(p, e)):
@@ -167,11 +194,11 @@ def candidates(p: str) -> Iterator[tuple[int, int, tuple | None]]:
         rest = e
         while rest < len(p) and p[rest].isspace():
             rest += 1
-        left, marks, closers = p[max(0, start - 48) : start], m[0], p[end:e].strip()
+        marks, closers = m[0], p[end:e].strip()
         if rest == len(p):
-            yield e, rest, None if e < len(p.rstrip()) else (left, marks, closers)
+            yield e, rest, None if e < len(p.rstrip()) else (start, letter, marks, closers)
             continue
-        yield e, rest, _features(left, marks, closers, rest == e, p[rest : rest + 48])
+        yield e, rest, _features(p, start, letter, marks, closers, rest == e, p, rest)
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, str]]:
@@ -193,10 +220,10 @@ def examples(text: str) -> Iterator[tuple[str, tuple, tuple]]:
         for _, _, f in candidates(p):
             if f is None:
                 continue
-            if len(f) == 3 and isinstance(f[0], str):  # a mark that ends the paragraph
+            if isinstance(f[0], int):  # a mark that ends the paragraph
                 if i + 1 < len(ps):
                     for tight in (False, True):
-                        feats, keys, kind = _features(*f, tight, ps[i + 1])
+                        feats, keys, kind = _features(p, *f, tight, ps[i + 1], 0)
                         if not tight or kind in ("up", "unc", "open") or keys[0][0] in UNSPACED:
                             yield "p", feats, keys
                 continue
@@ -301,7 +328,7 @@ def split(text: str, weights: dict[str, float]) -> list[tuple[int, int]]:
     for at, p in paragraphs(text):
         cuts = [(m.start(), m.end()) for m in _THAI_GAP.finditer(p)]
         for e, rest, f in candidates(p):
-            if f is None or len(f) == 3 and isinstance(f[0], str):
+            if f is None or isinstance(f[0], int):
                 continue
             feats = f[0]
             yes = known.get(feats)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from loomline.llm.sentences import PRIOR, examples, fit, sentences, split
@@ -63,3 +65,11 @@ def test_operator_cases(spark):
     assert sorted(o for o in out if o[0] == 3) == [(3, 0, 0, 4), (3, 0, 0, 4), (3, 1, 5, 9), (3, 1, 5, 9)]
     assert {o[0] for o in out} == {3, 4} and len([o for o in out if o[0] == 4]) == 2
     assert sentences(df.where("false")).count() == 0
+
+
+def test_endless_tokens_take_linear_time():
+    """Texts without a space, or without a letter, of hundreds of thousands of marks."""
+    for text in ("“" + "It is. " * 40_000 + "”", "a.b" * 200_000, "1." * 300_000, "。1" * 100_000, "x" * 500_000 + ". Y"):
+        began = time.perf_counter()
+        found = split(text, PRIOR)
+        assert "".join(text[a:b] for a, b in found) .replace(" ", "") == text.replace(" ", "") and time.perf_counter() - began < 30
