@@ -27,6 +27,9 @@ NAMES = {"Latn": "Latin", "Cyrl": "Cyrillic", "Grek": "Greek", "Armn": "Armenian
 #: Writing systems that use several scripts at once (UTS 39, augmented script sets).
 SYSTEMS = {"Jpan": ("Hani", "Hira", "Kata"), "Kore": ("Hang", "Hani"), "Hanb": ("Hani", "Bopo")}
 
+#: Which of several comes first.
+RANK = {p: i for i, p in enumerate((*SCRIPTS, *SYSTEMS))}
+
 #: Combining voice marks of kana.
 VOICED = "\u3099\u309a"
 
@@ -41,6 +44,22 @@ _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
 _ASCII_LETTERS_ONLY = regex.compile(r"[^\p{L}\p{M}]*(?:[A-Za-z][^\p{L}\p{M}]*)*")
 
 
+#: Tokens and spellings that a task remembers, at most, of tokens of at most so many characters.
+MEMORY, REMEMBERED_CHARS = 50_000, 64
+
+
+@dataclass(frozen=True)
+class Token:
+    """What a token can be: its letters with their look-alikes, the scripts in which it can be written as a whole,
+    whether it has look-alikes at all, and whether it mixes scripts or could be written in several."""
+
+    letters: list
+    plain: list[str]
+    ambiguous: bool
+    mixed: bool
+    whole: bool
+
+
 @dataclass
 class Tables:
     """fold: one character to what is drawn the same in general use. classes: letter -> class number. members:
@@ -51,6 +70,8 @@ class Tables:
     members: list[dict[str, str]]
     _scripts: dict[str, frozenset] = field(default_factory=dict)
     _patterns: list = field(default_factory=list)
+    _tokens: dict[str, Token] = field(default_factory=dict)
+    _spellings: dict[tuple, str] = field(default_factory=dict)
 
     def scripts(self, letter: str) -> frozenset:
         known = self._scripts.get(letter)
@@ -174,6 +195,7 @@ def _choices(token: str, t: Tables) -> list[tuple[str, dict[str, str] | None, fr
     return out
 
 
+@functools.lru_cache(maxsize=4096)
 def _augmented(scripts: frozenset) -> frozenset:
     return scripts | {name for name, parts in SYSTEMS.items() if scripts & set(parts)}
 
@@ -186,6 +208,33 @@ def resolve(token: str, t: Tables) -> tuple[list, frozenset]:
     return letters, frozenset.intersection(*sets) if sets else frozenset()
 
 
+def _token(token: str, t: Tables) -> Token:
+    """A token resolved; tokens come again and again, so they are remembered."""
+    known = t._tokens.get(token)
+    if known is None:
+        letters, possible = resolve(token, t)
+        own = frozenset.intersection(*x) if (x := [_augmented(t.scripts(c)) for c, _, scripts in letters if scripts]) else frozenset()
+        plain = [p for p in (*SCRIPTS, *SYSTEMS) if p in possible and not (p in SYSTEMS and possible & set(SYSTEMS[p]))]
+        ambiguous = any(members for _, members, _ in letters)
+        known = Token(letters, plain, ambiguous, not own and len(x) > 1, ambiguous and len(plain) > 1)
+        if len(token) <= REMEMBERED_CHARS:
+            if len(t._tokens) >= MEMORY:
+                t._tokens.clear()
+            t._tokens[token] = known
+    return known
+
+
+def _spelled(token: str, known: Token, script: str | None, t: Tables) -> str:
+    out = t._spellings.get((token, script))
+    if out is None:
+        out = _spell(known.letters, script)
+        if len(token) <= REMEMBERED_CHARS:
+            if len(t._spellings) >= MEMORY:
+                t._spellings.clear()
+            t._spellings[token, script] = out
+    return out
+
+
 def _spell(letters: list, script: str | None) -> str:
     """The token in one script or writing system; in none, each letter follows the nearest certain one before
     it, else after it, else the order of SCRIPTS."""
@@ -235,22 +284,17 @@ def consistent_form(text: str, t: Tables) -> tuple[str, int, int]:
     mixed = whole = 0
     for m in _TOKEN.finditer(s):
         token = m[0]
-        letters, possible = resolve(token, t)
-        own = frozenset.intersection(*x) if (x := [_augmented(t.scripts(c)) for c, _, scripts in letters if scripts]) else frozenset()
-        mixed += not own and len(x) > 1
-        plain = [p for p in (*SCRIPTS, *SYSTEMS) if p in possible and not (p in SYSTEMS and possible & set(SYSTEMS[p]))]
-        ambiguous = any(members for _, members, _ in letters)
-        whole += ambiguous and len(plain) > 1
-        if len(plain) == 1 or not ambiguous:
-            votes[plain[0] if plain else "other"] += len(letters)
-        found.append((m.start(), m.end(), letters, plain, ambiguous))
-    rank = {p: i for i, p in enumerate((*SCRIPTS, *SYSTEMS))}
+        known = _token(token, t)
+        mixed += known.mixed
+        whole += known.whole
+        if len(known.plain) == 1 or not known.ambiguous:
+            votes[known.plain[0] if known.plain else "other"] += len(token)
+        if known.ambiguous:
+            found.append((m.start(), m.end(), token, known))
     out, at = [], 0
-    for start, end, letters, plain, ambiguous in found:
-        if not ambiguous:
-            continue
-        script = min(plain, key=lambda p: (-votes[p], rank[p])) if plain else None
-        out += [s[at:start], _spell(letters, script)]
+    for start, end, token, known in found:
+        script = min(known.plain, key=lambda p: (-votes[p], RANK[p])) if known.plain else None
+        out += [s[at:start], _spelled(token, known, script, t)]
         at = end
     return unicodedata.normalize("NFC", "".join([*out, s[at:]])), int(mixed), int(whole)
 
