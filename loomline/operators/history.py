@@ -51,10 +51,23 @@ def lookup(wanted: DataFrame, loaded: DataFrame, log: DataFrame) -> DataFrame:
     return wanted.select("oid").join(known, "oid", "left").select("oid", *(F.col(f"_r.{c}").alias(c) for c in columns), found.alias("found"))
 
 
+#: Positions of a log that one task orders.
+POSITION_BLOCK = 65_536
+
+
 def adjacent_pairs(log: DataFrame, group: str = "repo", position: str = "topo_pos") -> DataFrame:
-    """(group, oid, older, newer): neighbours of each commit in the order of the log."""
-    w = Window.partitionBy(group).orderBy(position)
-    return log.select(group, "oid", F.lead("oid").over(w).alias("older"), F.lag("oid").over(w).alias("newer"))
+    """(group, oid, older, newer): neighbours of each commit in the order of the log.
+
+    A log is ordered in blocks of positions, and the ends of the blocks are matched afterwards, so that no task
+    orders the whole log of a repository.
+    """
+    rows = log.select(group, "oid", F.col(position).alias("_p"), F.floor(F.col(position) / POSITION_BLOCK).alias("_b"))
+    inside = Window.partitionBy(group, "_b").orderBy("_p")
+    ends = rows.groupBy(group, "_b").agg(F.min_by("oid", "_p").alias("_first"), F.max_by("oid", "_p").alias("_last"))
+    across = Window.partitionBy(group).orderBy("_b")
+    ends = ends.select(group, "_b", F.lead("_first").over(across).alias("_after"), F.lag("_last").over(across).alias("_before"))
+    known = rows.select(group, "_b", "oid", F.lead("oid").over(inside).alias("_older"), F.lag("oid").over(inside).alias("_newer")).join(ends, [group, "_b"], "left")
+    return known.select(group, "oid", F.coalesce("_older", "_after").alias("older"), F.coalesce("_newer", "_before").alias("newer"))
 
 
 def reachable(log: DataFrame, starts: DataFrame) -> DataFrame:
@@ -112,13 +125,27 @@ def tree_order(path: Column, kind: Column) -> Column:
 
 
 def changed_neighbours(tree: DataFrame, changed: DataFrame, group: str = "repo") -> DataFrame:
-    """(group, path, next_changed, previous_changed): for each entry in git's tree order the nearest changed files."""
+    """(group, path, next_changed, previous_changed): for each entry in git's tree order the nearest changed files.
+
+    What is below one directory of the second level stands together in that order. These blocks are searched each by
+    itself; beyond them the first or last changed file of the nearest block that has one is taken.
+    """
     flagged = tree.join(changed.select(group, "path", F.lit(True).alias("_c")), [group, "path"], "left")
-    order = Window.partitionBy(group).orderBy(tree_order(F.col("path"), F.col("kind")))
-    mark = F.when(F.col("_c") & (F.col("kind") == "file"), F.col("path"))
-    after = F.first(mark, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    before = F.last(mark, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return flagged.select(group, "path", after.alias("next_changed"), before.alias("previous_changed"))
+    place = tree_order(F.col("path"), F.col("kind"))
+    block = F.regexp_extract(place, "^((?:[^/]*/){2})", 1)
+    rows = flagged.select(group, "path", place.alias("_o"), F.when(block != "", block).otherwise(place).alias("_b"), F.when(F.col("_c") & (F.col("kind") == "file"), F.col("path")).alias("_m"))
+
+    def nearest(order: Window, first: str, last: str) -> tuple[Column, Column]:
+        after = F.first(first, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+        return after, F.last(last, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+
+    marked = F.when(F.col("_m").isNotNull(), F.struct("_o", "_m"))
+    ends = rows.groupBy(group, "_b").agg(F.min(marked)["_m"].alias("_first"), F.max(marked)["_m"].alias("_last"))
+    after, before = nearest(Window.partitionBy(group).orderBy("_b"), "_first", "_last")
+    ends = ends.select(group, "_b", after.alias("_after"), before.alias("_before"))
+    after, before = nearest(Window.partitionBy(group, "_b").orderBy("_o"), "_m", "_m")
+    known = rows.select(group, "_b", "path", after.alias("_n"), before.alias("_p")).join(ends, [group, "_b"], "left")
+    return known.select(group, "path", F.coalesce("_n", "_after").alias("next_changed"), F.coalesce("_p", "_before").alias("previous_changed"))
 
 
 def nearest_ancestor(wanted: DataFrame, tree: DataFrame, group: str = "repo") -> DataFrame:

@@ -111,6 +111,23 @@ def test_long_chain(spark):
     assert H.reachable(log, spark.createDataFrame([("0",)], "oid string")).count() == 301
 
 
+def test_neighbours_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(H, "POSITION_BLOCK", 3)
+    positions = [0, 1, 2, 4, 9, 10, 30]
+    log = spark.createDataFrame([(r, f"{r}{p}", p) for r in "ab" for p in positions], "repo string, oid string, topo_pos int")
+    want = {(r, f"{r}{p}", *(f"{r}{positions[j]}" if 0 <= j < len(positions) else None for j in (i + 1, i - 1))) for r in "ab" for i, p in enumerate(positions)}
+    assert {tuple(r) for r in H.adjacent_pairs(log).collect()} == want
+    files = ["a/b/c/x", "a/b/y", "a/z", "b/c/d", "b/c-d/e", "b.rs", "c/d/e/f/g", "c/d/h", "top"]
+    dirs = sorted({f.rsplit("/", i)[0] for f in files for i in range(1, f.count("/") + 1)})
+    tree = spark.createDataFrame([("r", f, "file") for f in files] + [("r", d, "directory") for d in dirs], "repo string, path string, kind string")
+    order = [p for p, _ in sorted([(f, f) for f in files] + [(d, d + "/") for d in dirs], key=lambda x: x[1])]
+    for marked in (["a/b/y", "c/d/h"], ["b/c/d"], [], ["top", "a/b/c/x", "b.rs"]):
+        changed = spark.createDataFrame([("r", p) for p in marked], "repo string, path string")
+        got = {r.path: (r.next_changed, r.previous_changed) for r in H.changed_neighbours(tree, changed).collect()}
+        for i, p in enumerate(order):
+            assert got[p] == (next((x for x in order[i + 1 :] if x in marked), None), next((x for x in reversed(order[:i]) if x in marked), None))
+
+
 def test_fold_visibility(spark):
     tree = spark.createDataFrame([("src", "directory"), ("src/a", "file"), ("src/b/c", "file"), ("srcfoo", "file"), ("docs/x", "file")], "path string, kind string")
     folded = spark.createDataFrame([("src",)], "path string")
