@@ -41,8 +41,6 @@ def head_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("repo", canonical_path(F.col("path")).alias("path"), "name", "kind", F.lower("blob_oid").alias("blob_oid"), "size").groupBy("repo", "path").agg(F.min(F.struct("name", "kind", "blob_oid", "size")).alias("_e")).select("repo", "path", "_e.*")
 
 
-
-
 COMMITS_SQL = "commit_log AS (SELECT DISTINCT commit_no, oid, short_id, repo, author, ts, message, topo_pos, parents FROM commits)"
 DOCS_SQL = "docs AS (SELECT DISTINCT * FROM search_docs)"
 VECTORS_SQL = """vectors AS (SELECT doc_id, vec::DOUBLE[] AS vec FROM (
