@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,29 +75,146 @@ def adjacent_pairs(log: DataFrame, group: str = "repo", position: str = "topo_po
     return known.select(group, "oid", F.coalesce("_older", "_after").alias("older"), F.coalesce("_newer", "_before").alias("newer"))
 
 
-def reachable(log: DataFrame, starts: DataFrame) -> DataFrame:
+#: Tasks' portions of a log's graph, and rows that a walk gives at once.
+GRAPH_BUCKETS, WALK_ROWS = 1024, 65_536
+
+
+def _components(pairs: DataFrame) -> DataFrame:
+    """(_g, _to): of each number in the pairs (_u, _v) the least that it is connected with, itself left out.
+
+    Large and small stars by turns: rounds are logarithmic in the number of pairs, which never grow.
+    """
+    edges, before = pairs, None
+    while True:
+        both = edges.union(edges.select("_v", "_u")).toDF("_u", "_v")
+        least = both.groupBy("_u").agg(F.least(F.min("_v"), F.first("_u")).alias("_m"))
+        large = both.join(least, "_u").where("_v > _u").select(F.col("_v").alias("_u"), F.col("_m").alias("_v")).distinct()
+        stars = large.join(large.groupBy("_u").agg(F.min("_v").alias("_m")), "_u")
+        ends = F.explode(F.array("_u", "_v")).alias("_u")
+        edges = cut(stars.select(ends, F.col("_m").alias("_v")).where("_u <> _v").distinct())
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("_u", "_v"))).first()
+        if now == before:
+            return edges.toDF("_g", "_to")
+        before = now
+
+
+def graph(log: DataFrame, group: str | None) -> DataFrame:
+    """(_b, oid, parents): the commits, those that hang together in one bucket. Groups (repositories) that mention the
+    same commit are one; without a group the whole log is."""
+    rows = log.select("oid", "parents", (F.xxhash64(group) if group else F.lit(0).cast("long")).alias("_g"))
+    if group:
+        named = F.concat(F.array("oid"), F.coalesce("parents", F.array().cast("array<string>")))
+        mentions = rows.select("_g", F.explode(named).alias("oid")).where("oid IS NOT NULL")
+        shared = cut(mentions.groupBy("oid").agg(F.min("_g").alias("_v"), F.max("_g").alias("_last")).where("_v < _last").select("oid", "_v"))
+        if not shared.isEmpty():
+            joined = _components(mentions.join(shared, "oid").where("_g <> _v").select(F.col("_g").alias("_u"), "_v").distinct())
+            rows = rows.join(joined, "_g", "left").select("oid", "parents", F.coalesce("_to", "_g").alias("_g"))
+    return rows.select(F.pmod(F.xxhash64("_g"), F.lit(GRAPH_BUCKETS)).alias("_b"), "oid", "parents")
+
+
+def _indexed(batches: list[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(oids, child, parent): the different commits, and by their numbers the edges between them."""
+    oids = pa.chunked_array([b.column("oid") for b in batches], pa.string())
+    lists = [b.column("parents") for b in batches]
+    known = oids.unique()
+    child = pc.index_in(oids, value_set=known).to_numpy()
+    child = np.repeat(child, np.concatenate([x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for x in lists]))
+    parent = pc.index_in(pa.chunked_array([x.flatten() for x in lists], pa.string()), value_set=known, skip_nulls=True).fill_null(-1).to_numpy()
+    there = parent >= 0
+    return known, child[there], parent[there]
+
+
+def _next(near: np.ndarray, far: np.ndarray, n: int) -> tuple[list[int], list[int]]:
+    """(at, to): from v edges lead to ``to[at[v] : at[v + 1]]``."""
+    return np.concatenate([[0], np.cumsum(np.bincount(near, minlength=n))]).tolist(), far[np.argsort(near, kind="stable")].tolist()
+
+
+def _walks(log: DataFrame, starts: DataFrame, group: str | None) -> DataFrame:
+    """(names, oid) of commits reachable from a name's starts but not from those of its starts that are ``_less``.
+
+    starts: (oid, _less) and any columns that name the start. The graph of what hangs together is in one task, which
+    walks it commit by commit: time and memory grow with the commits and with what is found, not with its depth.
+    """
+    names = [c for c in starts.columns if c not in ("oid", "_less")]
+    types = {c: t for c, t in starts.dtypes if c in names}
+    rows = graph(log, group)
+    known = starts.join(rows.select("oid", "_b").distinct(), "oid")
+    side = [F.collect_list(F.when(F.col("_less") == less, F.col("oid"))).alias(c) for c, less in (("_from", False), ("_not", True))]
+    asked = known.groupBy("_b", *names).agg(*side)
+    none = [F.lit(None).cast("array<string>").alias(c) for c in ("_from", "_not")]
+    tagged = rows.select("_b", "oid", "parents", *none, *(F.lit(None).cast(types[c]).alias(c) for c in names))
+    tagged = tagged.unionByName(asked.where(F.size("_from") > 0).select("_b", F.lit(None).cast("string").alias("oid"), F.lit(None).cast("array<string>").alias("parents"), "_from", "_not", *names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, tasks = [], []
+        for b in batches:
+            start = b.column("_from").is_valid()
+            nodes.append(b.filter(pc.invert(start)).select(["oid", "parents"]))
+            tasks.append(b.filter(start).select(["_from", "_not", *names]))
+        asked = pa.Table.from_batches(tasks)
+        if not asked.num_rows:
+            return
+        oids, child, parent = _indexed(nodes)
+        at, to = _next(child, parent, len(oids))
+        seen = [-1] * len(oids)
+
+        def walk(first: list[int], mark: int) -> list[int]:
+            todo, found = [], []
+            for v in first:
+                if seen[v] != mark:
+                    seen[v] = mark
+                    todo.append(v)
+            while todo:
+                v = todo.pop()
+                found.append(v)
+                for w in to[at[v] : at[v + 1]]:
+                    if seen[w] != mark:
+                        seen[w] = mark
+                        todo.append(w)
+            return found
+
+        def give(who: list[int], found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            i, v = np.repeat(who, [len(f) for f in found]), np.concatenate(found)
+            for k in range(0, len(v), WALK_ROWS):
+                named = asked.select(names).take(pa.array(i[k : k + WALK_ROWS])).combine_chunks()
+                columns = [x.chunk(0) for x in named.columns]
+                yield pa.RecordBatch.from_arrays([*columns, oids.take(pa.array(v[k : k + WALK_ROWS]))], names=[*names, "oid"])
+
+        def numbers(column: str) -> tuple[np.ndarray, list[int]]:
+            lists = asked.column(column).chunks
+            sizes = np.concatenate([x.value_lengths().to_numpy(zero_copy_only=False) for x in lists])
+            flat = pc.index_in(pa.chunked_array([x.flatten() for x in lists], pa.string()), value_set=oids).to_numpy()
+            return np.concatenate([[0], np.cumsum(sizes)]), flat.tolist()
+
+        (f_at, f), (n_at, n) = numbers("_from"), numbers("_not")
+        who, found, held = [], [], 0
+        for i in range(asked.num_rows):
+            walk(n[n_at[i] : n_at[i + 1]], i)
+            found.append(np.array(walk(f[f_at[i] : f_at[i + 1]], i), np.int64))
+            who.append(i)
+            held += len(found[-1])
+            if held >= WALK_ROWS:
+                yield from give(who, found)
+                who, found, held = [], [], 0
+        if held:
+            yield from give(who, found)
+
+    return tagged.groupBy("_b").applyInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in names), "oid string"]))
+
+
+def reachable(log: DataFrame, starts: DataFrame, group: str | None = None) -> DataFrame:
     """The start columns with all commits of the log reachable from the start's ``oid``, itself included.
 
-    starts: ``oid`` and any columns that name the start. Path doubling: the hops over 1, 2, 4, ... parents are
-    composed with themselves, so a history of depth n takes log2 n rounds of joins instead of n. Each round is
-    cut in the shared folder.
+    starts: ``oid`` and any columns that name the start. group: a column of the log that commits which hang together
+    mostly share.
     """
-    names = [c for c in starts.columns if c != "oid"]
-    hops = log.select("oid", F.explode("parents").alias("far")).join(log.select(F.col("oid").alias("far")), "far", "left_semi").distinct()
-    found = starts.join(log.select("oid"), "oid", "left_semi").distinct()
-    hops, found = cut(hops), cut(found.select(*names, "oid"))
-    while not hops.isEmpty():
-        step = found.join(hops, "oid").select(*names, F.col("far").alias("oid"))
-        found = cut(found.union(step).distinct())
-        hops = cut(hops.alias("a").join(hops.alias("b"), F.col("a.far") == F.col("b.oid")).select("a.oid", "b.far").distinct())
-    return found
+    return _walks(log, starts.withColumn("_less", F.lit(False)), group).select(*(c for c in starts.columns if c != "oid"), "oid")
 
 
-def commits_since(log: DataFrame, ranges: DataFrame) -> DataFrame:
+def commits_since(log: DataFrame, ranges: DataFrame, group: str | None = None) -> DataFrame:
     """(range, oid) of commits reachable from ``new`` but not from ``old``; ranges: (range, old, new)."""
-    sides = F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("oid")) for s in ("old", "new")))
-    reached = reachable(log, ranges.select("range", F.explode(sides).alias("e")).select("range", "e.side", "e.oid"))
-    return reached.where("side = 'new'").join(reached.where("side = 'old'"), ["range", "oid"], "left_anti").select("range", "oid")
+    sides = F.array(*(F.struct((F.lit(s) == "old").alias("_less"), F.col(s).alias("oid")) for s in ("old", "new")))
+    return _walks(log, ranges.select("range", F.explode(sides).alias("e")).select("range", "e._less", "e.oid"), group)
 
 
 def is_ancestor(log: DataFrame, old: str, new: str) -> bool:

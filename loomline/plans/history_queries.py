@@ -78,7 +78,7 @@ def commits_since(spark, sf_dir):
     ends = log.groupBy("repo").agg(F.max("topo_pos").alias("_last"))
     middle = log.join(ends, "repo").where(F.col("topo_pos") == F.floor(F.col("_last") / 2)).select(F.col("repo").alias("range"), F.col("oid").alias("old"))
     head = log.where("topo_pos = 0").select(F.col("repo").alias("range"), F.col("oid").alias("new"))
-    return H.commits_since(log, middle.join(head, "range")).select(F.col("range").alias("repo"), "oid")
+    return H.commits_since(log, middle.join(head, "range"), "repo").select(F.col("range").alias("repo"), "oid")
 
 
 def tree_visible(spark, sf_dir):

@@ -111,6 +111,49 @@ def test_long_chain(spark):
     assert H.reachable(log, spark.createDataFrame([("0",)], "oid string")).count() == 301
 
 
+@pytest.fixture
+def bounded_cuts(monkeypatch):
+    """Fails as soon as what is cut has more rows than a few for each commit."""
+
+    def limit(most):
+        cut = H.cut
+
+        def counted(df, *a):
+            assert df.count() <= most
+            return cut(df, *a)
+
+        monkeypatch.setattr(H, "cut", counted)
+
+    return limit
+
+
+def test_commits_since_is_linear(spark, bounded_cuts):
+    """No step makes pairs of commits: the work grows with the history, not with its depth."""
+    n = 3000
+    edges = {str(i): [str(j) for j in (i + 1, i + 2) if j <= n] if i % 10 == 0 else [str(i + 1)] if i < n else [] for i in range(n + 1)}
+    bounded_cuts(4 * n)
+    ranges = spark.createDataFrame([("r", "1500", "0"), ("s", "0", "1500"), ("t", "2", "1")], "range string, old string, new string")
+    found = {(r.range, int(r.oid)) for r in H.commits_since(graph(spark, edges), ranges).collect()}
+    assert found == {("r", i) for i in range(1500)} | {("t", 1)}
+
+
+def test_history_follows_parents_into_other_groups(spark):
+    """Forks: a parent in another repository, over several of them, and repositories that share nothing."""
+    rows = [("a", "r1", ["b"]), ("b", "r2", ["c", None]), ("c", "r3", ["d"]), ("d", "r4", None), ("e", "r1", ["c"]), ("x", "r5", ["y"]), ("y", "r5", []), ("z", "r6", ["gone"]), ("w", None, ["y"])]
+    log = spark.createDataFrame(rows, "oid string, repo string, parents array<string>")
+    ranges = spark.createDataFrame([(1, "e", "a"), (2, "x", "a"), (3, None, "w"), (4, "a", "z"), (5, "d", "e"), (5, "y", "x")], "range int, old string, new string")
+    want = {(1, "a"), (1, "b"), (2, "a"), (2, "b"), (2, "c"), (2, "d"), (3, "w"), (3, "y"), (4, "z"), (5, "e"), (5, "c"), (5, "x")}
+    assert sorted(tuple(r) for r in H.commits_since(log, ranges, "repo").collect()) == sorted(want)
+    starts = spark.createDataFrame([("p", 1, "b"), ("p", 1, "e"), ("q", 2, "z"), ("q", 3, "lost")], "name string, number int, oid string")
+    assert sorted(tuple(r) for r in H.reachable(log, starts, "repo").collect()) == [("p", 1, "b"), ("p", 1, "c"), ("p", 1, "d"), ("p", 1, "e"), ("q", 2, "z")]
+
+
+def test_chained_components(spark):
+    edges = [(i, i + 1) for i in range(60) if i != 40] + [(50, 58)]
+    found = {r._g: r._to for r in H._components(spark.createDataFrame([(a, b) if a % 3 else (b, a) for a, b in edges], "_u long, _v long")).collect()}
+    assert found == {i: 0 for i in range(1, 41)} | {i: 41 for i in range(42, 61)}
+
+
 def test_neighbours_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(H, "POSITION_BLOCK", 3)
     positions = [0, 1, 2, 4, 9, 10, 30]
