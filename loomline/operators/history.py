@@ -334,18 +334,30 @@ def navigation(hits: DataFrame, docs: DataFrame, log: DataFrame) -> DataFrame:
     )
 
 
-def topological_depth(log: DataFrame) -> DataFrame:
+def topological_depth(log: DataFrame, group: str | None = None) -> DataFrame:
     """(oid, depth): the length of the longest way down to a root, an order in which parents come first.
 
-    Rounds of Bellman-Ford over doubled hops: a hop carries the longest way between its ends, so the number of
-    rounds is the logarithm of the depth.
+    What hangs together is in one task (see ``graph``), which takes each commit when all of its parents have been.
     """
-    hops = log.select("oid", F.explode("parents").alias("far"), F.lit(1).alias("steps")).join(log.select(F.col("oid").alias("far")), "far", "left_semi").distinct()
-    best = cut(log.select("oid", F.lit(0).alias("depth")).distinct())
-    hops = cut(hops.select("oid", "far", "steps"))
-    while not hops.isEmpty():
-        longer = hops.join(best.select(F.col("oid").alias("far"), "depth"), "far").select("oid", (F.col("steps") + F.col("depth")).alias("depth"))
-        best = cut(best.unionByName(longer).groupBy("oid").agg(F.max("depth").alias("depth")))
-        a, b = hops.alias("a"), hops.alias("b")
-        hops = cut(a.join(b, F.col("a.far") == F.col("b.oid")).select("a.oid", "b.far", (F.col("a.steps") + F.col("b.steps")).alias("steps")).groupBy("oid", "far").agg(F.max("steps").alias("steps")))
-    return best
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        oids, child, parent = _indexed(list(batches))
+        at, to = _next(parent, child, len(oids))
+        waits = np.bincount(child, minlength=len(oids))
+        todo, waits = np.flatnonzero(waits == 0).tolist(), waits.tolist()
+        depth, done = [0] * len(oids), 0
+        while todo:
+            v = todo.pop()
+            done += 1
+            longer = depth[v] + 1
+            for w in to[at[v] : at[v + 1]]:
+                if depth[w] < longer:
+                    depth[w] = longer
+                waits[w] -= 1
+                if not waits[w]:
+                    todo.append(w)
+        if done < len(oids):
+            raise ValueError(f"{len(oids) - done} commits are their own ancestors or descend from such")
+        yield from pa.table([oids, pa.array(depth, pa.int32())], names=["oid", "depth"]).to_batches(WALK_ROWS)
+
+    return graph(log, group).groupBy("_b").applyInArrow(run, "oid string, depth int")

@@ -135,7 +135,7 @@ def incremental_docs(spark, sf_dir):
 
 
 def topological_depth(spark, sf_dir):
-    return H.topological_depth(commits(spark, sf_dir, "parents"))
+    return H.topological_depth(commits(spark, sf_dir, "repo", "parents"), "repo")
 
 
 def highlight_spans(spark, sf_dir):

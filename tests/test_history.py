@@ -192,3 +192,22 @@ def test_align(spark):
     lines = spark.createDataFrame([("f", i, names[k], f"{k}{i}") for i, k in enumerate(kinds)], "file string, pos int, kind string, content string")
     rows = H.align_diff(lines, ["file"]).orderBy("block", "row").collect()
     assert [(r.old, r.new) for r in rows] == [("c0", "c0"), ("r1", "a3"), ("r2", "a4"), ("c5", "c5"), ("r8", "a6"), ("r9", "a7"), ("r10", None)]
+
+
+def test_topological_depth_is_linear(spark, bounded_cuts):
+    """No step makes pairs of commits; merges take the longest way."""
+    n = 3000
+    edges = {str(i): [str(j) for j in (i + 2, i + 1) if j <= n] if i % 10 == 0 else [str(i + 1)] if i < n else [] for i in range(n + 1)}
+    bounded_cuts(4 * n)
+    assert {int(r.oid): r.depth for r in H.topological_depth(graph(spark, edges)).collect()} == {i: n - i for i in range(n + 1)}
+
+
+def test_topological_depth_over_groups(spark):
+    """Parents in other repositories count, missing ones do not; a circle is an error and no endless loop."""
+    rows = [("a", "r1", ["b", "d"]), ("b", "r2", ["c", None]), ("c", "r3", ["d"]), ("d", "r4", None), ("x", None, ["lost"]), ("y", "r5", ["x", "d"])]
+    log = spark.createDataFrame(rows, "oid string, repo string, parents array<string>")
+    for group in ("repo", None):
+        assert {r.oid: r.depth for r in H.topological_depth(log, group).collect()} == {"a": 3, "b": 2, "c": 1, "d": 0, "x": 0, "y": 1}
+    circle = spark.createDataFrame([("a", ["b"]), ("b", ["a"]), ("c", ["a"])], "oid string, parents array<string>")
+    with pytest.raises(Exception, match="3 commits are their own ancestors"):
+        H.topological_depth(circle).collect()
