@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,16 +109,13 @@ def term_stats(spark, sf_dir):
 
 
 def _query_vectors(spark, sf_dir) -> DataFrame:
-    """Stated query vectors: those of the documents whose id is divisible by 20."""
-    return vectors(spark, sf_dir).where("doc_id % 20 = 0").select(F.col("doc_id").cast("int").alias("qid"), "vec")
+    """Stated query vectors: those of the documents whose id is divisible by 20, by this id."""
+    return vectors(spark, sf_dir).where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), "vec")
 
 
 def vector_topk(spark, sf_dir):
-    """The vectors nearest to each query vector; more queries than one search takes are searched in blocks."""
-    every, asked = vectors(spark, sf_dir), _query_vectors(spark, sf_dir)
-    blocks = -(-2 * asked.count() // S.MAX_QUERIES) or 1  # half full on average, as hashes spread unevenly
-    parts = [S.vector_topk(every, asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else asked, LIMIT) for b in range(blocks)]
-    found = functools.reduce(DataFrame.unionByName, parts)
+    """The vectors nearest to each query vector."""
+    found = S.vector_topk(vectors(spark, sf_dir), _query_vectors(spark, sf_dir), LIMIT)
     return found.select("qid", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 

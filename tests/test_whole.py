@@ -75,6 +75,42 @@ def test_vector_topk_takes_all_queries(spark, vector_tables, monkeypatch, most):
     assert sorted(tuple(r) for r in query("vector_topk")(spark, folder).collect()) == [(q, r, d, pytest.approx(s, abs=2e-6)) for q, r, d, s in want]
 
 
+@pytest.mark.parametrize(("most", "passes"), [(10_000, 8), (2, 8), (1, 2)])
+def test_vector_topk_takes_wide_ids(spark, vector_tables, tmp_path, monkeypatch, most, passes):
+    """Ids beyond 32 bits are query ids too, in one pass, in several and in several portions of passes."""
+    from loomline.operators import search
+
+    monkeypatch.setattr(search, "MAX_QUERIES", most)
+    monkeypatch.setattr(search, "PASSES", passes, raising=False)
+    folder, x = vector_tables
+    far = 20 * 10**9
+    spark.read.parquet(f"{folder}/doc_vectors.parquet").withColumn("doc_id", F.col("doc_id") + far).write.parquet(f"{tmp_path}/doc_vectors.parquet")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = np.round(u @ u.T, 9)
+    want = [(far + q, r + 1, far + int(d), round(score[q, d], 6)) for q in range(0, 90, 20) for r, d in enumerate(np.lexsort((np.arange(90), -score[q]))[:10])]
+    assert sorted(tuple(r) for r in query("vector_topk")(spark, str(tmp_path)).collect()) == [(q, r, d, pytest.approx(s, abs=2e-6)) for q, r, d, s in want]
+
+
+def test_vector_topk_is_exact_among_near_equals(spark):
+    """Cosines that single precision cannot tell apart, in batches large enough to be searched by their tops."""
+    from loomline.operators import search
+
+    rng = np.random.RandomState(8)
+    base = rng.randn(3, 64)
+    x = np.concatenate([base[i % 3] + rng.randn(64) * 10.0 ** -rng.randint(1, 7) for i in range(6000)]).reshape(-1, 64)
+    x[100:130] = x[7]
+    u, v = x / np.linalg.norm(x, axis=1, keepdims=True), base / np.linalg.norm(base, axis=1, keepdims=True)
+    score = np.round(v @ u.T, 9)
+    rows = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)] + [(9999, [float("nan")] * 64)], "doc_id long, vec array<double>").coalesce(1)
+    asked = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(base)], "qid int, vec array<double>")
+    found = search.vector_topk(rows, asked, 10)
+    assert dict(found.dtypes)["qid"] == "int"
+    got = {(r.qid, r["rank"]): r.score for r in found.collect()}
+    assert len(got) == 30
+    for q in range(3):
+        assert [got[q, r + 1] for r in range(10)] == pytest.approx(np.sort(score[q])[::-1][:10], abs=2e-9)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_bm25_path_title_takes_the_whole_batch(spark):
     from loomline.operators import grammar
