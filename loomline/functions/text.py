@@ -203,7 +203,9 @@ def l2_normalize(vec: Column) -> Column:
     """The vector at length 1; one shorter than 1e-12 stays as it is."""
     wide = F.transform(vec, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm < 1e-12, wide).otherwise(F.transform(wide, lambda x: x / norm))
+    # Bound to a lambda's argument the norm is worked out once; as an expression within one, again for each component.
+    bound = F.array(F.struct(wide.alias("v"), norm.alias("n")))
+    return F.get(F.transform(bound, lambda b: F.when(b["n"] < 1e-12, b["v"]).otherwise(F.transform(b["v"], lambda x: x / b["n"]))), F.lit(0))
 
 
 def dot(a: Column, b: Column) -> Column:

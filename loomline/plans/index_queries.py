@@ -63,7 +63,7 @@ def index_nearest(spark, sf_dir):
     """The vectors of an index nearest to those of the documents whose id is divisible by 20."""
     folder, _ = _built(spark, sf_dir)
     index = I.Index.open(spark, folder)
-    asked = index.vectors.where("doc_id % 20 = 0").select(F.col("doc_id").cast("int").alias("qid"), "vec")
+    asked = index.vectors.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), "vec")
     found = index.nearest(asked, LIMIT)
     return found.select("qid", "rank", "doc_id", F.round("score", 6).alias("score"))
 

@@ -91,6 +91,37 @@ def test_vector_topk_takes_wide_ids(spark, vector_tables, tmp_path, monkeypatch,
     assert sorted(tuple(r) for r in query("vector_topk")(spark, str(tmp_path)).collect()) == [(q, r, d, pytest.approx(s, abs=2e-6)) for q, r, d, s in want]
 
 
+@pytest.mark.parametrize("most", [10_000, 2])
+def test_index_nearest_takes_all_queries(spark, vector_tables, tmp_path, monkeypatch, most):
+    """More queries than go with one pass, of ids beyond 32 bits."""
+    from loomline.operators import search
+
+    monkeypatch.setattr(search, "MAX_QUERIES", most)
+    folder, x = vector_tables
+    far = 20 * 10**9
+    moved = spark.read.parquet(f"{folder}/doc_vectors.parquet").withColumn("doc_id", F.col("doc_id") + far)
+    moved.write.parquet(f"{tmp_path}/doc_vectors.parquet")
+    none = F.lit(None)
+    moved.select("doc_id", F.lit("commit").alias("kind"), F.lit("Title").alias("title"), F.lit("c").alias("commit_oid"), none.cast("string").alias("path"), none.cast("int").alias("line_start"), none.cast("int").alias("line_end"), F.lit("a text").alias("body")).write.parquet(f"{tmp_path}/search_docs.parquet")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = np.round(u @ u.T, 9)
+    want = [(far + q, r + 1, far + int(d), round(score[q, d], 6)) for q in range(0, 90, 20) for r, d in enumerate(np.lexsort((np.arange(90), -score[q]))[:10])]
+    assert sorted(tuple(r) for r in query("index_nearest")(spark, str(tmp_path)).collect()) == [(q, r, d, pytest.approx(s, abs=2e-6)) for q, r, d, s in want]
+
+
+def test_l2_normalize_is_linear_in_the_width(spark):
+    """The norm is worked out once for a vector and not once for each of its components."""
+    import time
+
+    from loomline.functions import text
+
+    wide = spark.range(400).select(F.transform(F.sequence(F.lit(1), F.lit(8192)), lambda i: i.cast("double")).alias("vec"))
+    began = time.perf_counter()
+    first = wide.select(text.l2_normalize(F.col("vec"))[8191].alias("x")).agg(F.min("x"), F.max("x")).first()
+    assert first[0] == first[1] == pytest.approx(8192 / np.sqrt((np.arange(1, 8193.0) ** 2).sum()))
+    assert time.perf_counter() - began < 20
+
+
 def test_vector_topk_is_exact_among_near_equals(spark):
     """Cosines that single precision cannot tell apart, in batches large enough to be searched by their tops."""
     from loomline.operators import search
